@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import linededup, mixing, topk
+from tidemark.llm import linededup, mixing, secrets, topk, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,12 +23,20 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.Ledger(spark).scan(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(_table(spark, sf_dir, "pages").select("page_id", "url")).drop("score")
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op4_line_dedup": op4_line_dedup, "op9_topk": op9_topk}
+    return {"op1_mixing": op1_mixing, "op4_line_dedup": op4_line_dedup, "op7_secret_scan": op7_secret_scan, "op8_url_filter": op8_url_filter, "op9_topk": op9_topk}
 
 
 _TOPK_ORACLE = """
@@ -42,4 +50,4 @@ SELECT * FROM r WHERE rank <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": linededup.ORACLE, "op9_topk": _TOPK_ORACLE}
+    return {"op4_line_dedup": linededup.ORACLE, "op7_secret_scan": secrets.oracle(), "op9_topk": _TOPK_ORACLE}
