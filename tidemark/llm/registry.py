@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import linededup, mixing, secrets, topk, urlfilter
+from tidemark.llm import decontam, linededup, mixing, quotes, secrets, topk, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op5_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_quotes(_table(spark, sf_dir, "conversations"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.Ledger(spark).scan(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -35,8 +39,12 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op4_line_dedup": op4_line_dedup, "op7_secret_scan": op7_secret_scan, "op8_url_filter": op8_url_filter, "op9_topk": op9_topk}
+    return {"op1_mixing": op1_mixing, "op4_line_dedup": op4_line_dedup, "op5_quote_links": op5_quote_links, "op7_secret_scan": op7_secret_scan, "op8_url_filter": op8_url_filter, "op9_topk": op9_topk, "op10_decontamination": op10_decontamination}
 
 
 _TOPK_ORACLE = """
