@@ -49,8 +49,8 @@ EDGES = ".,;:!?\"'()[]{}<>#$%&*|~`_-"
 
 
 def _edgeless(words: Words) -> tuple[np.ndarray, pa.Array]:
-    """Codes and vocabulary after cutting ``EDGES`` off; words of edges only keep an empty form."""
-    forms = pc.utf8_trim(words.vocab, characters=EDGES).dictionary_encode()
+    """Codes and vocabulary in lower case (of any script), with ``EDGES`` cut off; words of edges only keep an empty form."""
+    forms = pc.utf8_trim(pc.utf8_lower(words.vocab), characters=EDGES).dictionary_encode()
     to = forms.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     return (to[words.codes] if len(to) else words.codes), forms.dictionary
 
