@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, linededup, mixing, ngramjoin, quotes, secrets, topk, urlfilter
+from tidemark.llm import decontam, hmm, linededup, mixing, ngramjoin, quotes, secrets, topk, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.near_duplicates(_table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
+def op3_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return hmm.score_texts(_table(spark, sf_dir, "documents"), held_out)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
 
@@ -48,7 +53,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_ngram_join": op2_ngram_join, "op4_line_dedup": op4_line_dedup, "op5_quote_links": op5_quote_links, "op7_secret_scan": op7_secret_scan, "op8_url_filter": op8_url_filter, "op9_topk": op9_topk, "op10_decontamination": op10_decontamination}
+    return {"op1_mixing": op1_mixing, "op2_ngram_join": op2_ngram_join, "op3_hmm_score": op3_hmm_score, "op4_line_dedup": op4_line_dedup, "op5_quote_links": op5_quote_links, "op7_secret_scan": op7_secret_scan, "op8_url_filter": op8_url_filter, "op9_topk": op9_topk, "op10_decontamination": op10_decontamination}
 
 
 _TOPK_ORACLE = """
