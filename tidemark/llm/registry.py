@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, hmm, linededup, mixing, ngramjoin, quotes, secrets, topk, urlfilter
+from tidemark.llm import decontam, hmm, linededup, mixing, ngramjoin, quotes, secrets, topk, toxicity, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,11 @@ def op5_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link_quotes(_table(spark, sf_dir, "conversations"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), held_out)
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.Ledger(spark).scan(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -53,7 +58,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_ngram_join": op2_ngram_join, "op3_hmm_score": op3_hmm_score, "op4_line_dedup": op4_line_dedup, "op5_quote_links": op5_quote_links, "op7_secret_scan": op7_secret_scan, "op8_url_filter": op8_url_filter, "op9_topk": op9_topk, "op10_decontamination": op10_decontamination}
+    return {"op1_mixing": op1_mixing, "op2_ngram_join": op2_ngram_join, "op3_hmm_score": op3_hmm_score, "op4_line_dedup": op4_line_dedup, "op5_quote_links": op5_quote_links, "op6_toxicity": op6_toxicity, "op7_secret_scan": op7_secret_scan, "op8_url_filter": op8_url_filter, "op9_topk": op9_topk, "op10_decontamination": op10_decontamination}
 
 
 _TOPK_ORACLE = """
