@@ -295,3 +295,18 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, keep: l
     rows = docs.select(F.struct(*keep, held_out.alias("__held_out")).alias("row"), "text")
     out = rows.mapInArrow(_score(shared), f"row {rows.schema['row'].dataType.simpleString()}, score double")
     return out.select("row.*", "score").withColumnRenamed("__held_out", "held_out").withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, all columns; nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs.where(~F.coalesce(held_out, F.lit(False))).select("doc_id", "text"), labels))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = _score(shared)
+        for batch in slices(batches, most=2 << 20):
+            texts = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(at)], names=["row", "text"])
+            found = pa.concat_arrays([x.column(1) for x in score(iter([texts]))])
+            yield batch.filter(pc.less(found, THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
