@@ -1,32 +1,62 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input.
+
+Every stage judges all rows that the one before kept, by whole texts, and keeps the
+columns of documents; the last adds those of the mixture.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import linededup, mixing
+from tidemark.llm import decontam, linededup, mixing, ngramjoin, toxicity
 from tidemark.llm.common import stored
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops what the network predicts toxic; it learns from labels of documents outside the held-out fold."""
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), held_out)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated three-line windows; documents of which nothing is left go, empty ones stay as they came."""
     done = linededup.dedup_lines(docs)
-    return done.where((F.col("n_removed") == 0) | (F.btrim(F.col("text"), F.lit(" \t\n\x0b\x0c\r")) != "")).select(*docs.columns)
+    left = F.btrim(F.col("text"), F.lit(" \t\n\x0b\x0c\r")) != ""
+    changed = F.col("n_removed") > 0
+    done = done.where(~changed | left).withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return done.select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group that is alike by five-word shingles (0.8 or more)."""
+    return ngramjoin.one_of_each(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a test item."""
+    return decontam.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture: documents with epoch, block and order_key."""
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture: documents with n_tokens, epoch, block and order_key."""
     return mixing.mix_sources(docs)
 
 
-STAGES = [("line dedup", line_dedup), ("mixing sources", mixed)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("mixing sources", mix),
+]
 
-#: The stages with trained models can't be told in SQL.
+#: The first stage is a trained network, which SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir))
