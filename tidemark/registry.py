@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.plans import dashboards as d
 from tidemark.plans import library as q
+from tidemark.plans import samples
 from tidemark.sources import adapter
 
 CLUSTER, GROUP, KIND, NAMESPACE, NAME, UID = "c0", "apps", "Deployment", "infra", "obj-8", "obj-8-1"
@@ -128,8 +129,8 @@ def _pairs() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, (f, _) in _pairs().items()}
+    return {name: f for name, (f, _) in _pairs().items()} | samples.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: f"{_WITH} {sql}" for name, (_, sql) in _pairs().items()}
+    return {name: f"{_WITH} {sql}" for name, (_, sql) in _pairs().items()} | samples.oracle_sql()
