@@ -8,8 +8,9 @@ every text is scored; a text's logit is its highest, turned into a probability b
 two calibration parameters.
 
 Training is in numpy on the driver, on a bounded sample of labelled rows
-(``SAMPLE`` rows with texts of at most ``SAMPLE_BYTES`` bytes: all classes alike by
-a hash order).  Only the texts of labelled documents say which words occur in
+(``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` rows with texts of at most ``SAMPLE_BYTES``
+bytes, in the order of a hash of doc_id; every fifth only calibrates, with the
+classes weighted as they are among all labels).  Only the texts of labelled documents say which words occur in
 toxic ones; the embeddings start from those log-odds.  As a label is about a whole
 text, each epoch trains on the window of each text that the network finds most
 toxic by then, and a random one of each clean text.
@@ -34,13 +35,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Words, mix, slices
+from tidemark.llm.common import Words, mix, slices, stored
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, DIM = 8, 8
 VOCAB, LEAST_DOCS = 30_000, 3
 RUN, BUCKETS = 4, 1 << 15
-SAMPLE, SAMPLE_BYTES = 6000, 12_288
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 1500, 2500, 8192
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 THRESHOLD = 0.3
 
@@ -178,21 +179,44 @@ def windows(words: Words) -> tuple[np.ndarray, np.ndarray]:
     at = first[:, None] + np.arange(WINDOW)
     inside = at < lengths[text][:, None]
     flat = np.append(words.codes, len(words.vocab))
-    return np.where(inside, flat[np.where(inside, at + words.starts[:-1][text][:, None], -1)], len(words.vocab)), text
+    return flat[np.where(inside, at + words.starts[:-1][text][:, None], -1)].astype(np.int32), text
 
 
-def _log_odds(texts: np.ndarray, features: np.ndarray, n: int, labels: np.ndarray, smooth: float = 20.0) -> np.ndarray:
-    """Log-odds of the label among texts that hold each feature, towards the mean by ``smooth`` texts; pairs may repeat."""
+def _held_by(texts: np.ndarray, features: np.ndarray, n: int, labels: np.ndarray) -> np.ndarray:
+    """How many texts of each class (clean, toxic) hold each feature; pairs may repeat."""
     pairs = np.unique(texts * n + features)
     texts, features = pairs // n, pairs % n
-    one = np.bincount(features, labels[texts], n)
-    zero = np.bincount(features, 1 - labels[texts], n)
-    share = labels.mean()
-    return (np.log((one + smooth * share) / (zero + smooth * (1 - share))) - np.log(share / (1 - share))).astype(np.float32)
+    return np.stack([np.bincount(features, labels[texts] == k, n) for k in (0, 1)])
 
 
-def fit(texts: list[str], labels: np.ndarray, seed: int = 5) -> Network:
-    """Train on texts with labels 0 and 1."""
+def _log_odds(held: np.ndarray, share: float, smooth: float = 20.0) -> np.ndarray:
+    """Log-odds of the toxic class among texts that hold each feature, towards the mean by ``smooth`` texts."""
+    return (np.log((held[1] + smooth * share) / (held[0] + smooth * (1 - share))) - np.log(share / (1 - share))).astype(np.float32)
+
+
+def _of(starts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the runs of some words, and how many each has."""
+    sizes = starts[which + 1] - starts[which]
+    return np.repeat(starts[which], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes), sizes
+
+
+def fit(texts: list[str], labels: np.ndarray, clean_weight: float = 1.0, seed: int = 5) -> Network:
+    """Train on texts with labels 0 and 1; a clean text of the sample stands for ``clean_weight`` toxic ones' worth of labels."""
+    rest, every = np.arange(len(texts)) % 5 != 4, np.arange(len(texts))
+    if min(labels[rest].sum(), (1 - labels[rest]).sum(), labels[~rest].sum(), (1 - labels[~rest]).sum()) < 5:
+        return _fit(texts, labels, texts, labels, clean_weight, seed)  # too few to set some apart
+    return _fit([texts[k] for k in every[rest]], labels[rest], [texts[k] for k in every[~rest]], labels[~rest], clean_weight, seed)
+
+
+def top_logits(net: Network, words: Words) -> np.ndarray:
+    """The highest logit among each text's windows."""
+    codes, text = windows(words)
+    top = np.full(len(words.lengths), -np.inf, np.float32)
+    np.maximum.at(top, text, net.logits(net.inputs(words.vocab), codes))
+    return top
+
+
+def _fit(texts: list[str], labels: np.ndarray, others: list[str], other_labels: np.ndarray, clean_weight: float, seed: int) -> Network:
     rng = np.random.default_rng(seed)
     words = Words(pa.array(texts, pa.string()))
     owner = np.repeat(np.arange(len(texts)), words.lengths)
@@ -205,21 +229,20 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 5) -> Network:
     often = np.argsort(-docs, kind="stable")[:VOCAB]
     often = often[docs[often] >= LEAST_DOCS]
     net = Network(words.vocab.take(pa.array(often)), rng)
-    net.p["words"][:-1, 0] = _log_odds(owner, words.codes, len(words.vocab), labels)[often]
+    net.p["words"][:-1, 0] = _log_odds(_held_by(owner, words.codes, len(words.vocab), labels), share)[often]
     runs, starts = char_runs(words.vocab)
-    of_word = np.repeat(np.arange(len(words.vocab)), np.diff(starts))
-    # Each word's runs, for every text that holds the word.
-    held = np.unique(words.codes * len(texts) + owner)
-    held_word, held_text = held // len(texts), held % len(texts)
-    sizes = np.diff(starts)[held_word]
-    at = np.repeat(starts[:-1][held_word], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    net.p["runs"][:, 1] = _log_odds(np.repeat(held_text, sizes), runs[at], BUCKETS, labels)
+    held = np.zeros((2, BUCKETS))
+    for a in range(0, len(texts), 128):  # each word's runs, for every text that holds the word
+        here = np.unique(words.codes[words.starts[a] : words.starts[min(a + 128, len(texts))]] * len(texts) + owner[words.starts[a] : words.starts[min(a + 128, len(texts))]])
+        at, sizes = _of(starts, here // len(texts))
+        held += _held_by(np.repeat(here % len(texts), sizes), runs[at], BUCKETS, labels)
+    net.p["runs"][:, 1] = _log_odds(held, share)
     own = pc.fill_null(pc.index_in(words.vocab, net.vocab), len(net.vocab)).to_numpy(zero_copy_only=False).astype(np.int64)
 
     codes, text = windows(words)
     begins = np.concatenate([[0], np.cumsum(np.bincount(text))])
-    evidence = np.append(net.inputs(words.vocab)[:-1, :2].sum(1), -9.0)
-    score = np.partition(evidence[codes], WINDOW - 2, axis=1)[:, -2:].sum(1)
+    evidence = np.append(net.inputs(words.vocab)[:-1, :2].sum(1), np.float32(-9))
+    score = np.concatenate([np.partition(evidence[some], WINDOW - 2, axis=1)[:, -2:].sum(1) for some in np.array_split(codes, 1 + len(codes) // 4096)])
     moments = {k: [np.zeros_like(x), np.zeros_like(x)] for k, x in net.p.items()}
     step = 0
     for epoch in range(EPOCHS):
@@ -234,8 +257,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 5) -> Network:
             used, which = np.unique(some, return_inverse=True)
             which = which.reshape(some.shape)
             real = used[used < len(words.vocab)]
-            sizes = np.diff(starts)[real]
-            at = np.repeat(starts[:-1][real], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            at, sizes = _of(starts, real)
             inputs = np.zeros((len(real) + 1, DIM), np.float32)
             inputs[:-1] = net.inputs_of(own[real], runs[at], sizes)
             g, d_inputs = net.gradients(inputs, which, labels[text[pick[rows]]], weight[rows])
@@ -249,28 +271,35 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 5) -> Network:
                 v += 0.001 * (g[k] * g[k] - v)
                 x -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-6)
         score = net.logits(net.inputs(words.vocab), codes)
-    top = np.maximum.reduceat(score, begins[:-1]).astype(np.float64)
-    net.slope, net.shift = _calibrated(top, labels)
+    net.slope, net.shift = _calibrated(top_logits(net, Words(pa.array(others, pa.string()))).astype(np.float64), other_labels, np.where(other_labels == 1, 1.0, clean_weight))
     return net
 
 
-def _calibrated(logits: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+def _calibrated(logits: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
     """Slope and shift of a logistic regression on one variable, by Newton's method."""
     x = np.stack([logits, np.ones_like(logits)], 1)
     beta = np.array([1.0, 0.0])
     for _ in range(50):
         p = _sigmoid(np.clip(x @ beta, -30, 30))
-        gradient = x.T @ (p - labels) + 0.1 * (beta - [1, 0])
-        beta = beta - np.clip(np.linalg.solve((x.T * (p * (1 - p))) @ x + 0.1 * np.eye(2), gradient), -1, 1)
+        gradient = x.T @ (weights * (p - labels)) + 0.1 * (beta - [1, 0])
+        beta = beta - np.clip(np.linalg.solve((x.T * (weights * p * (1 - p))) @ x + 0.1 * np.eye(2), gradient), -1, 1)
     return float(max(beta[0], 1e-3)), float(beta[1])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Network:
     """Fit on a bounded sample of labelled documents; ``labels`` has doc_id and toxic."""
-    marked = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("d")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    rows = docs.where(F.octet_length("text") <= SAMPLE_BYTES).join(marked, F.col("doc_id") == F.col("d")).select("doc_id", "text", "toxic")
-    sample = rows.orderBy(F.xxhash64("doc_id"), "text").limit(SAMPLE).collect()
-    return fit([x.text for x in sample], np.array([float(x.toxic > 0) for x in sample]))
+    marked = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("d")).agg((F.max("toxic") > 0).alias("toxic"))
+    # Ids and sizes meet the labels; the texts of the sample alone come after.
+    sized = docs.select("doc_id", F.octet_length("text").alias("bytes")).where(F.col("bytes") <= SAMPLE_BYTES)
+    rows = stored(sized.join(marked, F.col("doc_id") == F.col("d")).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
+    n_toxic, n_clean = rows.agg(F.count_if("toxic"), F.count_if(~F.col("toxic"))).first()
+    order = F.xxhash64("doc_id")
+    chosen = [x.where(F.col("toxic") == kind).orderBy(order, "doc_id").limit(most) for x, kind, most in ((rows, True, SAMPLE_TOXIC), (rows, False, SAMPLE_CLEAN))]
+    ids = chosen[0].unionAll(chosen[1]).select(F.col("doc_id").alias("d"), "toxic")  # a bounded number of rows
+    sample = docs.where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(ids), F.col("doc_id") == F.col("d")).select("text", "toxic", order.alias("o"), "doc_id")
+    got = sample.orderBy("o", "doc_id", "text").limit(SAMPLE_TOXIC + SAMPLE_CLEAN).collect()
+    weight = (n_clean / min(n_clean, SAMPLE_CLEAN)) / (n_toxic / min(n_toxic, SAMPLE_TOXIC)) if n_toxic and n_clean else 1.0
+    return fit([x.text for x in got], np.array([float(x.toxic) for x in got]), weight)
 
 
 def _score(shared):
@@ -278,10 +307,7 @@ def _score(shared):
         net = shared.value
         for batch in slices(batches, most=2 << 20):
             words = Words(batch.column(1))
-            codes, text = windows(words)
-            top = np.full(batch.num_rows, -np.inf, np.float32)
-            if net.constant is None:
-                np.maximum.at(top, text, net.logits(net.inputs(words.vocab), codes))
+            top = top_logits(net, words) if net.constant is None else np.zeros(batch.num_rows, np.float32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(net.probability(top))], names=["row", "score"])
 
     return run
