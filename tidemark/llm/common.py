@@ -43,6 +43,14 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, with as many underscores as keep them apart from ``columns``."""
+    taken, tail = {c.lower() for c in columns}, ""
+    while any((n + tail).lower() in taken for n in names):
+        tail += "_"
+    return [n + tail for n in names]
+
+
 def n_tokens(text: Column) -> Column:
     """Number of words of a text; 0 for null, empty and blank texts."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))

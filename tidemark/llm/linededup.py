@@ -22,12 +22,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import fresh
+
 WINDOW = 3
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` with the remaining lines as text, and n_lines, n_removed (long)."""
     docs = docs.drop("n_lines", "n_removed")
+    of, gone = fresh([*docs.columns, "n_lines", "n_removed"], "of", "gone")
     clean = F.transform(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")))
     starts = F.sequence(F.lit(1), F.size("l") - (WINDOW - 1))
 
@@ -50,15 +53,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         .withColumn("from", F.when(F.col("doc_id") == F.col("first.doc_id"), F.greatest("pos", F.col("first.pos") + WINDOW)).otherwise(F.col("pos")))
         .where(F.col("from") < F.col("pos") + WINDOW)
     )
-    covered = later.groupBy(F.col("doc_id").alias("_id")).agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("from", F.col("pos") + (WINDOW - 1))))).alias("_gone"))
+    covered = later.groupBy(F.col("doc_id").alias(of)).agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("from", F.col("pos") + (WINDOW - 1))))).alias(gone))
     lines = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
     return (
-        docs.join(covered, F.col("doc_id") == F.col("_id"), "left")
+        docs.join(covered, F.col("doc_id") == F.col(of), "left")
         .withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"))
-        .withColumn("n_removed", F.coalesce(F.size(F.when(F.col("_gone").isNotNull(), F.col("_gone"))), F.lit(0)).cast("long"))
-        .withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(lines, i + 1)), "\n")))
-        .drop("_id", "_gone")
+        .withColumn("n_removed", F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long"))
+        .withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(lines, i + 1)), "\n")))
+        .drop(of, gone)
     )
 
 

@@ -29,7 +29,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import n_tokens, stored
+from tidemark.llm.common import fresh, n_tokens, stored
 
 SHARD_TOKENS = 1 << 18
 BLOCK_TOKENS = 1 << 20
@@ -90,20 +90,21 @@ def weights(docs: DataFrame, budget: int | None = None, target_entropy: float |
 def mix_sources(docs: DataFrame, budget: int | None = None, target_entropy: float | None = 0.98, max_repeats: float | None = 4.0, seed: int = 7) -> DataFrame:
     """All columns of ``docs``, with n_tokens, epoch (from 0), block and order_key: sort by (block, order_key) for the mixture."""
     docs = docs.drop(*ADDED)
-    plan = weights(docs, budget, target_entropy, max_repeats).select(F.col("source").alias("_s"), "passes", "shards", "blocks")
+    of, passes, shards, blocks, shard, at = fresh([*docs.columns, *ADDED], "of", "passes", "shards", "blocks", "shard", "at")
+    plan = weights(docs.select("source", "text"), budget, target_entropy, max_repeats).select(*[F.col(c).alias(a) for c, a in (("source", of), ("passes", passes), ("shards", shards), ("blocks", blocks))])
     dealt = (
         docs.withColumn("n_tokens", n_tokens(F.col("text")))
-        .join(plan, F.col("source").eqNullSafe(F.col("_s")))
-        .withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("shards")))
-        .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil("passes").cast("int") - 1, F.lit(0)))))
+        .join(plan, F.col("source").eqNullSafe(F.col(of)))
+        .withColumn(shard, F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col(shards)))
+        .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(passes).cast("int") - 1, F.lit(0)))))
         .withColumn("order_key", F.xxhash64(F.lit(seed + 1), "epoch", "doc_id"))
     )
-    shard = Window.partitionBy("_s", "_shard", "epoch")
-    ordered = shard.orderBy("order_key", "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)
-    middle = (F.sum("n_tokens").over(ordered) - F.col("n_tokens") / 2) / F.greatest(F.sum("n_tokens").over(shard), F.lit(1))
+    whole = Window.partitionBy(of, shard, "epoch")
+    ordered = whole.orderBy("order_key", "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)
+    middle = (F.sum("n_tokens").over(ordered) - F.col("n_tokens") / 2) / F.greatest(F.sum("n_tokens").over(whole), F.lit(1))
     return (
-        dealt.withColumn("_at", F.col("epoch") + middle)
-        .where("_at < passes")
-        .withColumn("block", F.least(F.floor(F.col("_at") / F.col("passes") * F.col("blocks")), F.col("blocks") - 1))
+        dealt.withColumn(at, F.col("epoch") + middle)
+        .where(F.col(at) < F.col(passes))
+        .withColumn("block", F.least(F.floor(F.col(at) / F.col(passes) * F.col(blocks)), F.col(blocks) - 1))
         .select(*docs.columns, *ADDED)
     )
