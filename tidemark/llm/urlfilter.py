@@ -71,17 +71,17 @@ def models(grams: DataFrame) -> DataFrame:
 
 
 def cut_off(bins: DataFrame) -> float:
-    """The lower end of the bins to allow; ``bins`` has bin, a, r (accepted and rejected URLs) and few rows."""
+    """Midway between the bins to block and to allow; ``bins`` has bin, a, r (accepted and rejected URLs) and few rows."""
     rows = sorted(bins.collect())
     a, r = sum(x.a for x in rows), sum(x.r for x in rows)
     if not a or not r:
         return 0.0
-    best, at, below_a, below_r = 2.0, 0.0, 0, 0
+    best, at, below_a, below_r, last = 2.0, 0.0, 0, 0, rows[0].bin - 1
     for x in rows:
         error = below_a / a + (r - below_r) / r
         if error < best - 1e-12:
-            best, at = error, x.bin * BIN
-        below_a, below_r = below_a + x.a, below_r + x.r
+            best, at = error, (last + 1 + x.bin) / 2 * BIN
+        below_a, below_r, last = below_a + x.a, below_r + x.r, x.bin
     return at
 
 
