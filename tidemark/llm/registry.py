@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, hmm, linededup, mixing, ngramjoin, quotes, secrets, topk, toxicity, urlfilter
+from tidemark.llm import decontam, hmm, linededup, mixing, ngramjoin, oracles, quotes, secrets, topk, toxicity, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,15 +61,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_mixing": op1_mixing, "op2_ngram_join": op2_ngram_join, "op3_hmm_score": op3_hmm_score, "op4_line_dedup": op4_line_dedup, "op5_quote_links": op5_quote_links, "op6_toxicity": op6_toxicity, "op7_secret_scan": op7_secret_scan, "op8_url_filter": op8_url_filter, "op9_topk": op9_topk, "op10_decontamination": op10_decontamination}
 
 
-_TOPK_ORACLE = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS w FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.w) + 1), lambda i: q.w[i] * c.w[i]))::BIGINT AS score
-  FROM v q, v c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
-r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
-SELECT * FROM r WHERE rank <= 5
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": linededup.ORACLE, "op7_secret_scan": secrets.oracle(), "op9_topk": _TOPK_ORACLE}
+    """The other queries have models or hashes that SQL lacks; tests compare them with brute force."""
+    return {
+        "op2_ngram_join": oracles.ngram_join(4, 85, 100),
+        "op4_line_dedup": linededup.ORACLE,
+        "op5_quote_links": oracles.QUOTES,
+        "op7_secret_scan": secrets.oracle(),
+        "op8_url_filter": oracles.url_filter(),
+        "op9_topk": oracles.TOPK,
+    }
