@@ -9,12 +9,13 @@ from tidemark.llm.common import clear_scratch, scratch_dir, stored
 DATA = "/root/testdata/sf0.001"
 
 
-def test_stages(spark):
+def test_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     before = {r.doc_id: r for r in docs.collect()}
     columns, rows = docs.columns, docs
     for name, stage in p.STAGES:
-        out = stored(stage(spark, rows, DATA))
+        stage(spark, rows, DATA).write.parquet(str(tmp_path / name))
+        out = spark.read.parquet(str(tmp_path / name))
         assert out.columns[: len(columns)] == columns
         if name != p.STAGES[-1][0]:
             assert out.columns == columns and out.count() <= rows.count()

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -29,17 +31,30 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tidemark-{spark.sparkContext.applicationId}"
 
 
+_FOLDER: ContextVar[str] = ContextVar("folder", default="tables")
+
+
+@contextmanager
+def folder(name: str) -> Iterator[None]:
+    """Within it, :func:`stored` writes to a part of the shared folder that can be cleared by itself."""
+    token = _FOLDER.set(name)
+    try:
+        yield
+    finally:
+        _FOLDER.reset(token)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{_FOLDER.get()}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete the tables written by :func:`stored`; call it once the results have been written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+def clear_scratch(spark: SparkSession, name: str | None = None) -> None:
+    """Delete the tables written by :func:`stored` (in one folder, or all); call it once the results have been written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark) + (f"/{name}" if name else ""))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
