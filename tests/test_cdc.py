@@ -145,6 +145,18 @@ def test_stream_equals_batch(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "bad")).count() == 1
 
 
+def test_stream_with_seed_and_sinks(spark, tmp_path):
+    """State from history is there before the first batch; each sink has a state and a table of its own."""
+    seed = spark.createDataFrame([("s1", "c", "apps", "D", "n", "a", "u9", "x", "v0")], "sink string, cluster_id string, api_group string, kind string, namespace string, name string, uid string, sha256 string, api_version string")
+    rows = [(k, datetime(2024, 1, 1), 10**9 + k, sink, "upsert", "c", "apps", "v1", "D", "n", "a", doc(), True) for k, sink in enumerate(("s1", "s2"))]
+    spark.createDataFrame(rows, COLUMNS).coalesce(1).write.json(str(tmp_path / "in"))
+    stream = classify_stream(observations.read_stream(spark, str(tmp_path / "in")), seed=seed)
+    write_history(stream, str(tmp_path / "states"), str(tmp_path / "bad"), str(tmp_path / "checkpoint")).awaitTermination()
+    one, two = (spark.read.parquet(str(tmp_path / "states" / f"sink={s}")) for s in ("s1", "s2"))
+    assert sorted((r.event_type, r.uid, r.api_version) for r in one.collect()) == [("Added", "u1", "v1"), ("Deleted", "u9", "v0")]
+    assert [(r.event_type, r.uid) for r in two.collect()] == [("Added", "u1")]
+
+
 def test_replay(spark):
     at = 10**9
     rows = [(k, datetime(2024, 1, 1), at * (k + 1), "s", "upsert", "c", "apps", "v1", "D", "n", "web", doc(x=k, status={"g": k, "l": list(range(k % 4))}), True) for k in range(12)]

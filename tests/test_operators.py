@@ -179,6 +179,14 @@ def test_json_reads(spark):
     assert [tuple(r) for r in got] == [("x", "y", "", "", 5), *[("", "", "", "", 0)] * 3]
 
 
+def test_keys(spark):
+    df = spark.createDataFrame([("apps", "D", "n", "a"), ("apps", "D", "", "b")], "api_group string, kind string, namespace string, name string")
+    keys = [r[0] for r in df.select(columns.identity_key()).collect()]
+    assert keys == ["apps|D|n/a", "apps|D|/b"]
+    assert [k.startswith(columns.scope_prefix("apps", "D", "n")) for k in keys] == [True, False]
+    assert all(k.startswith(columns.scope_prefix("apps", "D", "")) for k in keys)
+
+
 def test_identity_is_built_in_one_place():
     import pathlib
 

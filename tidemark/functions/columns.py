@@ -51,6 +51,16 @@ def change_text(sizes: bool = True) -> Column:
     return F.when(F.col("diff") != "", F.col("diff")).when(F.col("data") != "", note).otherwise("")
 
 
+def identity_key() -> Column:
+    """One text for an object, over all versions of its API; joins and groups use the columns."""
+    return F.concat_ws("|", "api_group", "kind", F.concat_ws("/", "namespace", "name"))
+
+
+def scope_prefix(group: str, kind: str, namespace: str) -> str:
+    """What the keys of a scope's objects begin with; without a namespace, of all namespaces."""
+    return f"{group}|{kind}|" + (f"{namespace}/" if namespace else "")
+
+
 def literal_like(df: DataFrame, column: str, value: datetime) -> Column:
     """A time as a literal of the column's own type, so that the comparison is pushed to the scan."""
     return F.lit(value.strftime("%Y-%m-%d %H:%M:%S.%f")).cast(df.schema[column].dataType)

@@ -25,9 +25,13 @@ def create_tables(spark: SparkSession, database: str = "default", location: str
 
 
 def append_states(rows: DataFrame, path: str) -> None:
-    """Append rows, a directory for each cluster and month, sorted by identity and time so that files prune by their statistics."""
+    """Append rows, a directory for each cluster and month, sorted by identity and time so that files prune by their statistics.
+
+    Rows with a column ``sink`` go to a table of their own for each sink, in ``path``/sink=...
+    """
     rows = encoded(rows).withColumn("yyyymm", month_of(F.col("ts")))
-    rows.repartition(*PARTITIONS, F.pmod(F.xxhash64(*IDENTITY), F.lit(16))).sortWithinPartitions(*PARTITIONS, *IDENTITY, "ts").write.mode("append").partitionBy(*PARTITIONS).parquet(path)
+    parts = ["sink", *PARTITIONS] if "sink" in rows.columns else PARTITIONS
+    rows.repartition(*parts, F.pmod(F.xxhash64(*IDENTITY), F.lit(16))).sortWithinPartitions(*parts, *IDENTITY, "ts").write.mode("append").partitionBy(*parts).parquet(path)
 
 
 def read_states(spark: SparkSession, path: str, cluster: str | None = None, start: datetime | None = None, end: datetime | None = None) -> DataFrame:

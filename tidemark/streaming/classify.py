@@ -57,7 +57,7 @@ def classify_stream(observations: DataFrame, classifier: Classifier | None = Non
 
 
 def write_history(rows: DataFrame, path: str, quarantine: str, checkpoint: str, interval: str | None = None):
-    """Start the query that appends classified rows, and sets aside what can't be read.
+    """Start the query that appends classified rows, a table for each sink, and sets aside what can't be read.
 
     A batch that runs again writes the same rows; reads collapse them.  Without an
     ``interval`` it takes what there is and ends.
@@ -65,7 +65,7 @@ def write_history(rows: DataFrame, path: str, quarantine: str, checkpoint: str,
 
     def each(batch: DataFrame, number: int) -> None:
         batch.persist()
-        append_states(as_states(batch).drop("sink"), path)
+        append_states(as_states(batch), path)
         bad = quarantined(batch)
         if not bad.isEmpty():
             bad.withColumn("batch", F.lit(number)).write.mode("append").parquet(quarantine)
