@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: White space that separates words everywhere in this subpackage.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Texts handled at once inside a Python worker, in bytes (a single longer text is handled alone).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 3 << 20
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
