@@ -16,8 +16,9 @@ expected counts of partitions, in ``PARTS`` pieces of fixed size, of which only
 sums come to the driver.  In training, texts are cut into runs of ``RUN`` words; in
 scoring they are whole.
 
-Counts of the ``KNOWN`` most frequent words travel to the workers (fixed size); the
-counts of all other words meet the texts in a join on the word's hash.
+Counts of the most frequent words, at most ``KNOWN``, travel to the workers (a table
+of counts of counts tells from which count on); the counts of all other words meet
+the texts in a join on the word's hash.
 
 Defined cases: null and blank texts are the end alone.  A null doc_id trains (its
 row isn't held out).  Rows that repeat a doc_id are scored each for itself.
@@ -218,12 +219,20 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def lexicon_of(counts: DataFrame, texts: int) -> Lexicon:
     """``counts`` has h, kind, c for every distinct training word."""
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    known = [(x.h, x.c) for x in counts.orderBy(F.desc("c"), "h").limit(KNOWN).select("h", "c").collect()]
+    # Counts below 256 and 32 steps for each doubling above: few steps, whatever the corpus.
+    step = F.when(F.col("c") < 256, F.col("c")).otherwise(256 + F.floor(F.log2(F.col("c") / 256) * 32)).cast("long")
+    cut, room = 1 << 60, KNOWN
+    for x in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        room -= x.n
+        if room < 0:
+            break
+        cut = x.step
+    known = [(x.h, x.c) for x in counts.where(step >= cut).select("h", "c").collect()]
     top = sorted(known, key=lambda x: (-x[1], x[0]))[:TOP]
-    least = top[-1] if len(top) == TOP else (0, 0)
-    others = counts.where((F.col("c") < least[1]) | (F.col("c") == least[1]) & (F.col("h") > least[0])) if top else counts
-    if len(top) < TOP:
-        others = counts.limit(0)
+    if len(top) == TOP:
+        others = counts.where((F.col("c") < top[-1][1]) | (F.col("c") == top[-1][1]) & (F.col("h") > top[-1][0]))
+    else:
+        others = counts.where(step < cut)
     classes = {x.kind: (x.n, x.v) for x in others.groupBy("kind").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
     return Lexicon(known, classes, total + texts, distinct + (texts > 0), texts)
 
@@ -246,7 +255,10 @@ def _start(texts: list[str], lexicon: Lexicon, states: int, seed: int) -> Model:
 def train(texts: DataFrame, lexicon: Lexicon, states: int = STATES, passes: int = PASSES, seed: int = 3) -> Model:
     """Baum-Welch over all rows of ``texts`` (column text)."""
     context = texts.sparkSession.sparkContext
-    sample = texts.where(F.octet_length("text") <= START_BYTES).orderBy(F.xxhash64("text"), "text").limit(START_DOCS).collect()
+    # A share by hash first: no task then has more rows to send than the sample needs.
+    share = min(1.0, 8 * START_DOCS / max(1, lexicon.texts))
+    order = F.xxhash64("text")
+    sample = texts.where((F.octet_length("text") <= START_BYTES) & (F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30)))).orderBy(order, "text").limit(START_DOCS).collect()
     model = _start([x.text or "" for x in sample], lexicon, states, seed)
     for _ in range(passes):
         shared = context.broadcast((model, lexicon))
