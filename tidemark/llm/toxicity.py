@@ -294,7 +294,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Network:
     rows = stored(sized.join(marked, F.col("doc_id") == F.col("d")).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     n_toxic, n_clean = rows.agg(F.count_if("toxic"), F.count_if(~F.col("toxic"))).first()
     order = F.xxhash64("doc_id")
-    chosen = [x.where(F.col("toxic") == kind).orderBy(order, "doc_id").limit(most) for x, kind, most in ((rows, True, SAMPLE_TOXIC), (rows, False, SAMPLE_CLEAN))]
+    # A share by hash first: no task then has more rows to send than the sample needs.
+    share = lambda most, of: F.pmod(order, F.lit(1 << 30)) < int(min(1.0, 4 * most / max(1, of)) * (1 << 30))
+    kinds = ((True, SAMPLE_TOXIC, n_toxic), (False, SAMPLE_CLEAN, n_clean))
+    chosen = [rows.where((F.col("toxic") == kind) & share(most, of)).orderBy(order, "doc_id").limit(most) for kind, most, of in kinds]
     ids = chosen[0].unionAll(chosen[1]).select(F.col("doc_id").alias("d"), "toxic")  # a bounded number of rows
     sample = docs.where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(ids), F.col("doc_id") == F.col("d")).select("text", "toxic", order.alias("o"), "doc_id")
     got = sample.orderBy("o", "doc_id", "text").limit(SAMPLE_TOXIC + SAMPLE_CLEAN).collect()
