@@ -76,3 +76,18 @@ def test_odd_rows(odd, empty, items):
 
 def test_answers():
     assert [t[d._answer(t) :] for t in ("Q one. Q two? The answer.", "q\na b\n", "no end", "")] == ["The answer.", "a b\n", "", ""]
+
+
+def test_results_do_not_depend_on_chunks(spark, make_docs, monkeypatch):
+    """Rows that repeat an id or have none are judged each for itself, with the scores of one index."""
+    rng = random.Random(8)
+    vocab = [f"v{k}" for k in range(40)]
+    texts = [" ".join(rng.choice(vocab[: 10 + k]) for _ in range(rng.randrange(3, 30))) for k in range(24)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    fill = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    docs = make_docs([(rng.choice([None, 1, 2, 3 + k]), f"{fill(rng.randrange(40))} {texts[k % 24]} {fill(9)}" if k % 3 else fill(30), "s") for k in range(60)])
+    run = lambda: sorted(((r.doc_id, r.n_passages, r["items"], round(r.best_score, 5)) for r in d.find_leaks(docs, items).collect()), key=str)
+    whole, kept = run(), d.without_leaks(docs, items).count()
+    monkeypatch.setattr(d, "CHUNK_BYTES", 500)
+    assert len(d.indexes(items)) > 2 and len(whole) == 60 and any(r[2] for r in whole)
+    assert run() == whole and d.without_leaks(docs, items).count() == kept

@@ -17,7 +17,8 @@ last sentence if it has one line.
 
 The index travels to the workers; items are therefore taken in chunks of at most
 ``CHUNK_BYTES`` of text (by a hash of item_id), each with an index and a pass of its
-own.  Documents are never shuffled by text: each is judged where it is read.
+own.  Word frequencies, their number, mean length and the stride are those of all
+items, so results don't depend on the chunks.  Documents are never shuffled by text: each is judged where it is read.
 
 Defined cases: null and empty texts hold no passages and aren't contaminated;
 items without words match nothing; texts of items that repeat are separate
@@ -28,6 +29,7 @@ nothing is contaminated.  An empty table gives no rows.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,29 +72,56 @@ def _grams(codes: np.ndarray, n: int = GRAM) -> set[tuple[int, ...]]:
     return set(zip(*[codes[k : len(codes) - n + 1 + k].tolist() for k in range(n)], strict=True)) if n else set()
 
 
+def _parts(texts: list[str]) -> tuple[list[np.ndarray], pa.Array]:
+    """Codes of the words of each text's question and answer in turn, and the vocabulary."""
+    halves = [t[cut:] if k else t[:cut] for t in texts for cut in [_answer(t)] for k in (0, 1)]
+    words = Words(pa.array(halves, pa.string()))
+    codes, vocab = _edgeless(words)
+    real = ~pc.equal(vocab, "").to_numpy(zero_copy_only=False)
+    parts = [codes[a:b] for a, b in zip(words.starts, words.starts[1:], strict=False)]
+    return [p[real[p]] if len(p) else p for p in parts], vocab
+
+
+class Totals:
+    """What the impacts of all items rest on: how many items hold a word, the number of items with words, their mean and largest length."""
+
+    def __init__(self) -> None:
+        self.df: Counter[str] = Counter()
+        self.items = self.words = self.longest = 0
+
+    def add(self, texts: list[str]) -> Totals:
+        parts, vocab = _parts(texts)
+        df = np.zeros(len(vocab), np.int64)
+        for k in range(len(texts)):
+            whole = np.concatenate(parts[2 * k : 2 * k + 2])
+            df[np.unique(whole)] += 1
+            self.items += len(whole) > 0
+            self.words += len(whole)
+            self.longest = max(self.longest, len(whole))
+        self.df.update({w: int(n) for w, n in zip(vocab.to_pylist(), df, strict=True) if n})
+        return self
+
+
 class Index:
-    """Normalised BM25 impacts of some items, their block maxima, and the trigrams of their parts."""
-
-    def __init__(self, ids: list[int], texts: list[str]) -> None:
-        halves = [t[cut:] if k else t[:cut] for t in texts for cut in [_answer(t)] for k in (0, 1)]
-        words = Words(pa.array(halves, pa.string()))
-        codes, vocab = _edgeless(words)
-        parts = [codes[a:b] for a, b in zip(words.starts, words.starts[1:], strict=False)]
-        parts = [p[np.array([vocab[int(c)].as_py() != "" for c in p], bool)] for p in parts]
+    """Normalised BM25 impacts of some items, their block maxima, and the trigrams of their parts; ``totals`` are those of all items."""
+
+    def __init__(self, ids: list[int], texts: list[str], totals: Totals | None = None) -> None:
+        totals = totals or Totals().add(texts)
+        parts, vocab = _parts(texts)
         whole = [np.concatenate(parts[2 * k : 2 * k + 2]) for k in range(len(texts))]
         keep = [k for k, w in enumerate(whole) if len(w)]
         self.ids, self.terms = np.array([ids[k] for k in keep], np.int64), vocab
         self.parts = [(_grams(parts[2 * k]), _grams(parts[2 * k + 1]), _grams(whole[k])) for k in keep]
         #: Words of a part that is shorter than a trigram are held by grams of that length.
-        self.stride = max([8, *(len(whole[k]) for k in keep)])
+        self.stride = max(8, totals.longest)
         tf = np.zeros((len(vocab) + 1, len(keep)), np.float32)
         for col, k in enumerate(keep):
             np.add.at(tf[:, col], whole[k], 1)
-        df = (tf > 0).sum(1, keepdims=True)
-        lengths = tf.sum(0)
-        idf = np.log(1 + (len(keep) - df + 0.5) / (df + 0.5))
-        impact = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths / max(1.0, lengths.mean() if len(keep) else 1.0)))
-        self.impact = np.asarray(impact / np.maximum(impact.sum(0), 1e-9), np.float32)
+        df = np.array([*(totals.df[w] for w in vocab.to_pylist()), 0], np.float64)[:, None]
+        idf = np.log(1 + (totals.items - df + 0.5) / (df + 0.5))
+        impact = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * tf.sum(0) * totals.items / max(1, totals.words)))
+        # In double precision: an item's impacts don't depend on the order of its chunk's words.
+        self.impact = np.asarray(impact / np.maximum(impact.sum(0, dtype=np.float64), 1e-9), np.float32)
         pad = np.zeros((len(tf), -len(keep) % BLOCK), np.float32)
         self.block_max = np.concatenate([self.impact, pad], 1).reshape(len(tf), -1, BLOCK).max(2)
 
@@ -119,7 +148,7 @@ class Index:
             items = (blocks[some][:, None] * BLOCK + np.arange(BLOCK)).ravel()
             items = items[items < len(self.ids)]
             terms = np.unique(inside)
-            scores = self.impact[terms[terms < none]][:, items].sum(0)
+            scores = self.impact[terms[terms < none]][:, items].sum(0, dtype=np.float64)
             good = scores >= THRESHOLD
             if good.any():
                 by_n = {n: _grams(inside, n) for n in range(1, GRAM + 1)}
@@ -181,24 +210,47 @@ def indexes(benchmark: DataFrame) -> list[Index]:
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-size // CHUNK_BYTES))
-    out = []
+    parts, totals = [], Totals()
     for k in range(chunks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(chunks)) == k).orderBy("item_id", "text").collect()
-        out.append(Index([r.item_id for r in rows], [r.text for r in rows]))
-    return out
+        parts.append(([r.item_id for r in rows], [r.text for r in rows]))
+        totals.add(parts[-1][1])
+    return [Index(*part, totals) for part in parts]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``id_col``, n_passages, items (sorted ids of the test items it holds), best_score for each row."""
-    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_passages long, items array<long>, best_score double"
-    found = [docs.select(id_col, "text").mapInArrow(_renamed(_judge(i), id_col), schema) for i in indexes(benchmark)]
-    if len(found) == 1:
-        return found[0]
-    every = found[0]
-    for one in found[1:]:
-        every = every.unionAll(one)
-    # Rows that repeat an id are judged together once there are several chunks.
-    return every.groupBy(id_col).agg(F.max("n_passages").alias("n_passages"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("best_score").alias("best_score"))
+    found = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_passages long, items array<long>, best_score double"
+    first, *others = indexes(benchmark)
+    if not others:
+        return docs.select(id_col, "text").mapInArrow(_renamed(_judge(first), id_col), found)
+    # Each pass hands on the row with its text and what was found so far, so rows stay apart whatever their ids.
+    nothing = [F.lit(0).cast("long").alias("n_passages"), F.array().cast("array<bigint>").alias("items"), F.lit(0.0).alias("best_score")]
+    out = docs.select(id_col, "text", *nothing)
+    for index in (first, *others):
+        out = out.mapInArrow(_added(index, id_col), found.replace(", n_passages", ", text string, n_passages", 1))
+    return out.drop("text")
+
+
+def _added(index: Index, name: str):
+    judge = _judge(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(1)], names=["row", "text"])
+            now = pa.Table.from_batches(judge(iter([texts]))).combine_chunks()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    batch.column(1),
+                    pc.max_element_wise(batch.column(2), now.column("n_passages").combine_chunks()),
+                    pa.array([sorted(a + b) for a, b in zip(batch.column(3).to_pylist(), now.column("items").to_pylist(), strict=True)], pa.list_(pa.int64())),
+                    pc.max_element_wise(batch.column(4), now.column("best_score").combine_chunks()),
+                ],
+                names=[name, "text", "n_passages", "items", "best_score"],
+            )
+
+    return run
 
 
 def _renamed(run, name: str):
