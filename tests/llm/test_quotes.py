@@ -55,3 +55,19 @@ def test_odd_rows(spark):
     assert quotes.link_quotes(spark.createDataFrame([], SCHEMA)).count() == 0
     extra = spark.createDataFrame([(1, 0, "u", "a", 5, "h")], SCHEMA + ", k long, position string")
     assert quotes.link_quotes(extra).count() == 1
+
+
+def test_quotes_of_some_lines_are_linked(spark):
+    three = "first line\nsecond line\nthird line"
+    got = linked(
+        spark,
+        [
+            (1, 0, "u", three + "\n\nmore words\n\nlast words"),
+            (1, 1, "a", "third line\nother"),
+            (1, 2, "u", "> second line\n> third  line\nyes"),
+            (1, 3, "a", "> more words\n>\n> last words\nno"),
+            (1, 4, "u", "> third line\n> never said\nwhat"),
+            (2, 0, "u", three),
+        ],
+    )
+    assert [(got[1, t].parent_turn, got[1, t].link, got[1, t].text) for t in (2, 3, 4)] == [(0, "quote", "yes"), (0, "quote", "no"), (3, "order", "what")]

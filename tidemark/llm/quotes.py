@@ -5,8 +5,10 @@ lines of one level form a passage.  Quoted passages (level 1 and deeper) are
 normalised (marks off, white space collapsed, lower-cased), hashed, and joined to
 the messages of the same conversation whose own words hold the passage as their
 whole own text, a paragraph or a line.  A message answers the latest earlier
-message that its shallowest linked passage matches; without such a link, the
-message before it.  What remains of a message are its own lines, without quotes
+message that its shallowest linked passage matches.  Without such a link, a
+passage of several lines links to the messages that hold each of its lines as a
+line of their own (blank ones aside), in the same order of preference; without
+that, the message before it.  A part of a line links nothing.  What remains of a message are its own lines, without quotes
 and without the line that announces one ("... wrote:").
 
 A conversation's order is by turn, which puts every answer after what it answers.
@@ -110,6 +112,26 @@ def link_quotes(messages: DataFrame) -> DataFrame:
         .groupBy("k").agg(F.max(F.struct((-F.col("level")).alias("l"), F.col("source"))).alias("best"))
         .select(F.col("k").alias("_k"), F.col("best.source").alias("quoted_turn"))
     )
+    # Passages of several lines that no message holds whole: all their lines in one message.
+    runs = (
+        parsed.where(F.exists("passages", lambda p: p["level"] > 0)).join(parents, F.col("k") == F.col("_k"), "left_anti")
+        .select("conv_id", "turn", "k", F.posexplode(F.filter("passages", lambda p: p["level"] > 0)).alias("run", "p"))
+        .select("conv_id", F.col("turn").alias("at"), "k", "run", F.col("p.level").alias("level"), F.array_distinct(F.filter(F.transform(F.split("p.text", "\n"), _normal), lambda x: x != "")).alias("parts"))
+        .where(F.size("parts") > 1).withColumn("n", F.size("parts")).distinct()
+        .select("conv_id", "at", "k", "run", "level", "n", F.explode(F.transform("parts", lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(5), x).alias("h2")))).alias("part"))
+    )
+    line_of = (
+        parsed.join(runs.select(F.col("conv_id").alias("_q")).distinct(), F.col("conv_id").eqNullSafe(F.col("_q")), "left_semi")
+        .select(F.col("conv_id").alias("c"), F.col("turn").alias("source"), F.col("k").alias("held_by"), F.explode(F.array_distinct(F.transform(own, lambda x: _normal(x["words"])))).alias("x"))
+        .select("c", "source", "held_by", F.xxhash64("x").alias("h1"), F.xxhash64(F.lit(5), "x").alias("h2")).distinct()
+    )
+    by_lines = (
+        runs.join(line_of, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part.h1") == F.col("h1")) & (F.col("part.h2") == F.col("h2")) & (F.col("source") < F.col("at")))
+        .groupBy("k", "run", "level", "n", "source", "held_by").agg(F.count("*").alias("found")).where("found = n")
+        .groupBy("k").agg(F.max(F.struct((-F.col("level")).alias("l"), F.col("source"))).alias("best"))
+        .select(F.col("k").alias("_k"), F.col("best.source").alias("quoted_turn"))
+    )
+    parents = parents.unionAll(by_lines)
     kept = F.filter(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["raw"]), lambda x: ~((F.col("max_level") > 0) & x.rlike(_ANNOUNCES)))
     clean = (
         parsed.withColumn("max_level", F.coalesce(F.array_max(F.transform("passages", lambda p: p["level"])), F.lit(0)))
