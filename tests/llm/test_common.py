@@ -2,11 +2,12 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Words, fresh, n_tokens, rolling, slices
+from tidemark.llm.common import Words, dropped, fresh, n_tokens, rolling, scratch_dir, slices, stored
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -40,3 +41,27 @@ def test_rolling_depends_on_order():
 
 def test_fresh():
     assert fresh(["a", "B"], "c", "b") == ["c_", "b_"]
+
+
+def test_stored_tables_leave_no_shuffle_files_and_can_be_dropped(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    table = stored(spark.range(100).repartition(4, "id"))
+    assert table.count() == 100 and spark.conf.get(name) == before
+    dropped(table)
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
+        spark.read.parquet(*table.inputFiles()).count()
+
+
+@pytest.mark.parametrize(("master", "fails"), [("local[4]", False), ("local", False), ("local-cluster[2,1,1024]", True), ("yarn", True), ("spark://host:7077", True)])
+def test_a_cluster_must_name_its_shared_folder(master, fails):
+    class Conf(dict):
+        set = dict.__setitem__
+
+    context = type("Context", (), {"master": master, "applicationId": "app", "getConf": lambda self: Conf()})()
+    session = type("Session", (), {"conf": Conf(), "sparkContext": context})()
+    if fails:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            scratch_dir(session)
+    else:
+        assert scratch_dir(session).endswith("/tidemark-app") and session.conf["spark.checkpoint.dir"]

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +24,12 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local temporary one only where the session names none."""
+    """The folder that driver and executors share; a temporary one only where both are one process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors share: {master} has none")
         base = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tidemark-{spark.sparkContext.applicationId}"
@@ -44,18 +48,40 @@ def folder(name: str) -> Iterator[None]:
         _FOLDER.reset(token)
 
 
+#: Spark drops the shuffle files of a statement once it has ended.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors, and leaves no shuffle files."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{_FOLDER.get()}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    _PATHS[table] = path
+    return table
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that :func:`stored` returned; their last reader must have ended."""
+    for table in tables:
+        _delete(table.sparkSession, _PATHS.pop(table))
 
 
 def clear_scratch(spark: SparkSession, name: str | None = None) -> None:
     """Delete the tables written by :func:`stored` (in one folder, or all); call it once the results have been written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark) + (f"/{name}" if name else ""))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, scratch_dir(spark) + (f"/{name}" if name else ""))
 
 
 def fresh(columns: list[str], *names: str) -> list[str]:
