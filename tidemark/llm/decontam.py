@@ -1,4 +1,4 @@
-"""Benchmark decontamination: BM25 over test items with block-max bounds, then a check of question and answer.
+"""Benchmark decontamination: BM25 over test items by block-max WAND, then a check of question and answer.
 
 The inverted index is built over the test items; every passage of every document
 is a query.  Passages are windows of two strides, a stride being as long as the
@@ -6,19 +6,31 @@ longest item, so an item that a document holds lies whole in some window.  Score
 are divided by the item's score for itself: 1 means that the passage holds every
 word of the item.
 
-Block-max WAND: items stand in blocks of ``BLOCK`` items.  For each block and
-term the index keeps the largest impact; the sums of these over a window bound
-the score of every item of the block, for all windows of a batch at once.  Blocks
-below the threshold are passed over, the others are scored exactly, and all items
-above the threshold are retrieved.  A retrieved item counts if the window holds
-at least ``OVERLAP`` of the word trigrams of its question and of its answer, or
-``WHOLE`` of the trigrams of the item.  The answer is the item's last line, or its
-last sentence if it has one line.
-
-The index travels to the workers; items are therefore taken in chunks of at most
-``CHUNK_BYTES`` of text (by a hash of item_id), each with an index and a pass of its
-own.  Word frequencies, their number, mean length and the stride are those of all
-items, so results don't depend on the chunks.  Documents are never shuffled by text: each is judged where it is read.
+Block-max WAND, for all windows of a batch side by side.  Items are numbered by
+length, and ``BLOCK`` of them in a row are a block; a term's posting list has one
+entry for each block that holds the term, with the largest impact there.  A
+block's terms stand in order of document frequency, the commonest first, and its
+pivot is the first term at which the maxima before it and its own reach the
+threshold: an item is in reach of a window only if the window holds a term from
+the pivot on.  So:
+
+1. only postings from the pivot on are opened; their sums, with what all terms
+   before the pivot could add, bound each (window, block) that they touch;
+2. blocks in reach are bounded again by the maxima of the terms before the pivot
+   that the window does hold;
+3. items of the blocks that are left are scored exactly, and all at or above the
+   threshold are retrieved.
+
+A retrieved item counts if the window holds at least ``OVERLAP`` of the word
+trigrams of its question and of its answer, or ``WHOLE`` of the trigrams of the
+item.  The answer is the item's last line, or its last sentence if it has one line.
+
+The index has a few numbers for each different word of each item and travels to
+the workers as a broadcast; items are taken in chunks of at most ``CHUNK_BYTES`` of
+text (by a hash of item_id), which bounds each broadcast, with a pass for each.
+Word frequencies, their number, mean length and the stride are those of all
+items, and rows are judged each for itself, so results don't depend on the chunks.
+Documents are never shuffled by text: each is judged where it is read.
 
 Defined cases: null and empty texts hold no passages and aren't contaminated;
 items without words match nothing; texts of items that repeat are separate
@@ -40,9 +52,13 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import Words, slices
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 8 << 20
 BLOCK = 4
 THRESHOLD = 0.5
+#: Largest table for looking words of windows up, in bytes; beyond it they are found by bisection.
+TABLE = 64 << 20
+#: Bounds are sums in another order than scores: they may fall short by rounding.
+SLACK = 1e-6
 OVERLAP, WHOLE = 0.5, 0.6
 GRAM = 3
 K1, B = 1.2, 0.75
@@ -67,9 +83,44 @@ def _answer(text: str) -> int:
     return ends[-1] if ends else len(body)
 
 
-def _grams(codes: np.ndarray, n: int = GRAM) -> set[tuple[int, ...]]:
-    n = min(n, len(codes))
-    return set(zip(*[codes[k : len(codes) - n + 1 + k].tolist() for k in range(n)], strict=True)) if n else set()
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted; by sorting, which is faster here than numpy's hashing."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
+def _grams(codes: np.ndarray, n: int, base: int) -> np.ndarray:
+    """Distinct runs of ``n`` words as numbers, sorted; exact while ``base`` (above all codes) is below 2^21."""
+    out = np.zeros(max(0, len(codes) - n + 1), np.int64)
+    for k in range(n):
+        out = out * base + codes[k : k + len(out)]
+    return _distinct(out)
+
+
+def _expanded(starts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the lists ``which`` of a table whose lists begin at ``starts``, and for each the position in ``which``."""
+    lengths = starts[which + 1] - starts[which]
+    owner = np.repeat(np.arange(len(which)), lengths)
+    return starts[which][owner] + np.arange(len(owner)) - (np.cumsum(lengths) - lengths)[owner], owner
+
+
+def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, with the sums of their values."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(values[order], first) if len(first) else np.zeros(0)
+
+
+def _among(keys: np.ndarray, held: np.ndarray, most: int = 0) -> np.ndarray:
+    """Which keys are in ``held`` (sorted); by a table if the keys, below ``most``, allow for a small one."""
+    if not len(held):
+        return np.zeros(len(keys), bool)
+    if 0 < most <= TABLE:
+        table = np.zeros(most, bool)
+        table[held] = True
+        return table[keys]
+    return held[np.minimum(np.searchsorted(held, keys), len(held) - 1)] == keys
 
 
 def _parts(texts: list[str]) -> tuple[list[np.ndarray], pa.Array]:
@@ -103,82 +154,128 @@ class Totals:
 
 
 class Index:
-    """Normalised BM25 impacts of some items, their block maxima, and the trigrams of their parts; ``totals`` are those of all items."""
+    """Posting lists of some items with their block maxima, the items' own words and trigrams; ``totals`` are those of all items."""
 
     def __init__(self, ids: list[int], texts: list[str], totals: Totals | None = None) -> None:
         totals = totals or Totals().add(texts)
         parts, vocab = _parts(texts)
         whole = [np.concatenate(parts[2 * k : 2 * k + 2]) for k in range(len(texts))]
-        keep = [k for k, w in enumerate(whole) if len(w)]
+        keep = sorted((k for k, w in enumerate(whole) if len(w)), key=lambda k: (len(whole[k]), ids[k], texts[k]))
         self.ids, self.terms = np.array([ids[k] for k in keep], np.int64), vocab
-        self.parts = [(_grams(parts[2 * k]), _grams(parts[2 * k + 1]), _grams(whole[k])) for k in keep]
-        #: Words of a part that is shorter than a trigram are held by grams of that length.
+        self.base = len(vocab) + 1
+        if self.base >= 1 << 21:
+            raise ValueError("a chunk of items has too many different words")
         self.stride = max(8, totals.longest)
-        tf = np.zeros((len(vocab) + 1, len(keep)), np.float32)
-        for col, k in enumerate(keep):
-            np.add.at(tf[:, col], whole[k], 1)
-        df = np.array([*(totals.df[w] for w in vocab.to_pylist()), 0], np.float64)[:, None]
+        df = np.array([totals.df[w] for w in vocab.to_pylist()], np.int64)
         idf = np.log(1 + (totals.items - df + 0.5) / (df + 0.5))
-        impact = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * tf.sum(0) * totals.items / max(1, totals.words)))
-        # In double precision: an item's impacts don't depend on the order of its chunk's words.
-        self.impact = np.asarray(impact / np.maximum(impact.sum(0, dtype=np.float64), 1e-9), np.float32)
-        pad = np.zeros((len(tf), -len(keep) % BLOCK), np.float32)
-        self.block_max = np.concatenate([self.impact, pad], 1).reshape(len(tf), -1, BLOCK).max(2)
+        mean = max(1, totals.words) / max(1, totals.items)
+
+        #: By item: its different words and their parts of its score for itself.
+        words, impacts = [], []
+        for k in keep:
+            term, tf = np.unique(whole[k], return_counts=True)
+            part = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(whole[k]) / mean))
+            words.append(term.astype(np.int64))
+            impacts.append(part / max(part.sum(), 1e-9))
+        none = [np.zeros(0, np.int64)]
+        self.item_at = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
+        self.item_term, self.item_impact = np.concatenate(words or none), np.concatenate(impacts or [np.zeros(0)])
+
+        #: By block: its words with their largest impacts, from the commonest word on; those before the pivot apart.
+        item = np.repeat(np.arange(len(keep)), np.diff(self.item_at))
+        pairs, first = np.unique(item // BLOCK * self.base + self.item_term, return_inverse=True)
+        most = np.zeros(len(pairs))
+        np.maximum.at(most, first, self.item_impact)
+        block, term = pairs // self.base, pairs % self.base
+        order = np.lexsort((term, -df[term], block))
+        block, term, most = block[order], term[order], most[order]
+        n_blocks = -(-len(keep) // BLOCK)
+        begin = np.searchsorted(block, np.arange(n_blocks + 1))
+        run = np.cumsum(most)
+        reached = run - np.append(0.0, run)[begin[block]] if len(block) else run
+        before = reached < THRESHOLD - SLACK
+        self.rest = np.bincount(block[before], most[before], n_blocks)
+        self.early_at = np.searchsorted(block[before], np.arange(n_blocks + 1))
+        self.early_term, self.early_most = term[before], most[before]
+
+        #: By term: the blocks whose pivot is at or before it.
+        block, term, most = block[~before], term[~before], most[~before]
+        order = np.lexsort((block, term))
+        self.list_block, self.list_most = block[order], most[order]
+        self.list_at = np.searchsorted(term[order], np.arange(self.base + 1))
+
+        #: By item, for question, answer and the whole in turn: length of the runs of words (shorter parts have shorter ones), and the runs.
+        halves = [p for k in keep for p in (parts[2 * k], parts[2 * k + 1], whole[k])]
+        self.run_of = np.array([min(GRAM, len(p)) for p in halves], np.int64)
+        grams = [_grams(p, int(n), self.base) if n else none[0] for p, n in zip(halves, self.run_of, strict=True)]
+        self.gram_at = np.concatenate([[0], np.cumsum([len(g) for g in grams])]).astype(np.int64)
+        self.gram = np.concatenate(grams or none)
 
     def search(self, codes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, float]]:
         """(text, item, score) of all verified hits, several for a text and item if several windows hold it; codes past the vocabulary are unknown words."""
         if not len(self.ids) or not len(codes):
             return
-        none, stride = len(self.terms), self.stride
+        stride = self.stride
         lengths = np.diff(starts)
         n_strides = -(-lengths // stride)
         first = np.concatenate([[0], np.cumsum(n_strides)])
         owner = np.repeat(np.arange(len(lengths)), n_strides)
         begin = starts[owner] + (np.arange(first[-1]) - first[owner]) * stride
-        known = codes < none
-        at = np.concatenate([[0], np.cumsum(known)])
-        bounds = self._sums(codes[known], at[begin], at[-1])
-        last = np.append(owner[1:] != owner[:-1], True)
-        bounds[:-1][~last[:-1]] += bounds[1:][~last[:-1]]
-        windows, blocks = np.nonzero(bounds >= THRESHOLD - 1e-5)
+        windows, items, scores = self.retrieve(codes, begin, owner)
         cuts = np.flatnonzero(np.diff(windows)) + 1
         for some in np.split(np.arange(len(windows)), cuts) if len(windows) else []:
             w = windows[some[0]]
             inside = codes[begin[w] : min(begin[w] + 2 * stride, starts[owner[w] + 1])]
-            items = (blocks[some][:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            items = items[items < len(self.ids)]
-            terms = np.unique(inside)
-            scores = self.impact[terms[terms < none]][:, items].sum(0, dtype=np.float64)
-            good = scores >= THRESHOLD
-            if good.any():
-                by_n = {n: _grams(inside, n) for n in range(1, GRAM + 1)}
-                for item, score in zip(items[good], scores[good], strict=True):
-                    if self._verified(int(item), by_n):
-                        yield int(owner[w]), int(item), float(score)
-
-    def _sums(self, terms: np.ndarray, begin: np.ndarray, end: int) -> np.ndarray:
-        """Sums of the block maxima over each stride; ``begin`` are first positions among ``terms``."""
-        out = np.zeros((len(begin), self.block_max.shape[1]), np.float32)
-        stop = np.append(begin[1:], end)
-        step = max(1, (32 << 20) // (4 * self.block_max.shape[1] * self.stride))
-        for a in range(0, len(begin), step):
-            b, e = begin[a : a + step], stop[a : a + step]
-            full = np.flatnonzero(e > b)
-            if len(full):
-                rows = self.block_max[terms[b[0] : e[-1]]]
-                out[a + full] = np.add.reduceat(rows, b[full] - b[0], axis=0)
-        return out
-
-    def _verified(self, item: int, by_n: dict[int, set]) -> bool:
-        def held(grams: set) -> float:
-            return sum(g in by_n[len(g)] for g in grams) / len(grams) if grams else 1.0
-
-        question, answer, whole = self.parts[item]
-        return held(whole) >= WHOLE or held(question) >= OVERLAP and held(answer) >= OVERLAP
-
-
-def _judge(index: Index):
+            by_n = [_grams(inside, n, self.base) for n in range(1, GRAM + 1)]
+            for k in some:
+                if self._verified(int(items[k]), by_n):
+                    yield int(owner[w]), int(items[k]), float(scores[k])
+
+    def retrieve(self, codes: np.ndarray, begin: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows, items and scores at or above the threshold, by window; ``begin`` and ``owner``: first word and text of each stride."""
+        pairs = np.repeat(np.arange(len(begin)), np.diff(begin, append=len(codes))) * self.base + codes
+        pairs = _distinct(pairs[codes < self.base - 1])
+        # A window begins with each stride and also takes the next one of its text.
+        follows = np.append(False, owner[1:] == owner[:-1])
+        pairs = _distinct(np.concatenate([pairs, pairs[follows[pairs // self.base]] - self.base]))
+        window, term = pairs // self.base, pairs % self.base
+
+        n_blocks = len(self.rest)
+        at, of = _expanded(self.list_at, term)
+        reach, bound = _summed(window[of] * n_blocks + self.list_block[at], self.list_most[at])
+        near = bound + self.rest[reach % n_blocks] >= THRESHOLD - SLACK
+        reach, bound = reach[near], bound[near]
+
+        at, of = _expanded(self.early_at, reach % n_blocks)
+        most = len(begin) * self.base
+        held = _among(reach[of] // n_blocks * self.base + self.early_term[at], pairs, most)
+        bound += np.bincount(of[held], self.early_most[at[held]], len(reach))
+        reach = reach[bound >= THRESHOLD - SLACK]
+
+        item = ((reach % n_blocks)[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        window = np.repeat(reach // n_blocks, BLOCK)
+        real = item < len(self.ids)
+        item, window = item[real], window[real]
+        at, of = _expanded(self.item_at, item)
+        held = _among(window[of] * self.base + self.item_term[at], pairs, most)
+        scores = np.bincount(of[held], self.item_impact[at[held]], len(item))
+        good = scores >= THRESHOLD
+        return window[good], item[good], scores[good]
+
+    def _verified(self, item: int, by_n: list[np.ndarray]) -> bool:
+        def held(part: int) -> float:
+            k = 3 * item + part
+            grams = self.gram[self.gram_at[k] : self.gram_at[k + 1]]
+            return _among(grams, by_n[self.run_of[k] - 1]).mean() if len(grams) else 1.0
+
+        return held(2) >= WHOLE or held(0) >= OVERLAP and held(1) >= OVERLAP
+
+
+def _judge(shared):
+    """``shared``: the broadcast of an :class:`Index`."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
         for batch in slices(batches):
             words = Words(batch.column(1))
             codes, vocab = _edgeless(words)
@@ -205,17 +302,22 @@ def _judge(index: Index):
     return run
 
 
-def indexes(benchmark: DataFrame) -> list[Index]:
-    """An index for each chunk of items, each of bounded size."""
+def indexes(benchmark: DataFrame) -> list:
+    """Broadcasts of an index for each chunk of items, each of bounded size; one chunk at a time is on the driver."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-size // CHUNK_BYTES))
-    parts, totals = [], Totals()
+
+    def part(k: int) -> tuple[list[int], list[str]]:
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == k).orderBy("item_id", "text").collect()
+        return [r.item_id for r in rows], [r.text for r in rows]
+
+    totals, one = Totals(), None
     for k in range(chunks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(chunks)) == k).orderBy("item_id", "text").collect()
-        parts.append(([r.item_id for r in rows], [r.text for r in rows]))
-        totals.add(parts[-1][1])
-    return [Index(*part, totals) for part in parts]
+        one = part(k)
+        totals.add(one[1])
+    context = benchmark.sparkSession.sparkContext
+    return [context.broadcast(Index(*(one if chunks == 1 else part(k)), totals)) for k in range(chunks)]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -232,8 +334,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") ->
     return out.drop("text")
 
 
-def _added(index: Index, name: str):
-    judge = _judge(index)
+def _added(shared, name: str):
+    judge = _judge(shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -269,8 +371,8 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
-def _clean(index: Index, at: int):
-    judge = _judge(index)
+def _clean(shared, at: int):
+    judge = _judge(shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
