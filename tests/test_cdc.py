@@ -6,11 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import replay
+from tidemark.operators.final import final
+from tidemark.plans import library
 from tidemark.operators.cdc import Classifier, State, as_states, checkpoint_due, classify, quarantined
 from tidemark.functions.documents import json_patch, sha256
 from tidemark.operators.cdc import KEY
 from tidemark.sources.schema import RESOURCE_STATES, STORED_STATES, validate_schema
-from tidemark.sources import observations
+from tidemark.sources import observations, tables
 from tidemark.streaming.classify import classify_stream, write_history
 
 COLUMNS = "seq long, ts timestamp, ts_ns long, sink string, op string, cluster_id string, api_group string, api_version string, kind string, namespace string, name string, object_json string, scope_warm boolean"
@@ -136,13 +138,15 @@ def test_stream_equals_batch(spark, tmp_path):
         part = spark.createDataFrame(rows[k * 40 : k * 40 + 40], COLUMNS).coalesce(1)
         part.write.mode("append").json(str(tmp_path / "in"))
         stream = classify_stream(observations.read_stream(spark, str(tmp_path / "in")), Classifier(checkpoint_every=3))
-        write_history(stream, str(tmp_path / "states"), str(tmp_path / "bad"), str(tmp_path / "checkpoint")).awaitTermination()
+        query = write_history(stream, str(tmp_path / "states"), str(tmp_path / "bad"), str(tmp_path / "checkpoint"))
+        query.awaitTermination()
     batch = as_states(classify(spark.createDataFrame(rows, COLUMNS), Classifier(checkpoint_every=3)))
     got = spark.read.parquet(str(tmp_path / "states"))
     cols = ["ts_ns", "name", "event_type", "uid", "data", "diff", "sha256"]
     assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, batch.select(*cols).collect()))
     assert not validate_schema(got, STORED_STATES)
     assert spark.read.parquet(str(tmp_path / "bad")).count() == 1
+    assert sum(p["observedMetrics"]["tidemark"]["rows"] for p in query.recentProgress if "tidemark" in p["observedMetrics"]) > 0
 
 
 def test_stream_with_seed_and_sinks(spark, tmp_path):
@@ -171,6 +175,69 @@ def test_replay(spark):
     assert replay.reconstruct_at(states, datetime(1969, 1, 1)).count() == 0
 
 
+def observation(seq, ns, op="upsert", body=None, name="web", warm=True, namespace="n", kind="D"):
+    return (seq, datetime(2024, 1, 1), ns, "s", op, "c", "apps", "v1", kind, namespace, name, body, warm)
+
+
+def test_replaced_object_lives_on_as_its_successor(spark):
+    """The close-out comes before the successor's first row and ends its own uid only."""
+    second = 10**9
+    rows = [observation(0, second, body=doc("u1")), observation(1, 2 * second, body=doc("u1", 2)), observation(2, 3 * second, body=doc("u2", 5)), observation(3, 4 * second, body=doc("u2", 6)), observation(4, 5 * second, "delete"), observation(5, 6 * second, body=doc("u3", 7))]
+    states = as_states(classify(spark.createDataFrame(rows, COLUMNS)))
+    assert [(r.ts_ns, r.event_type, r.uid) for r in states.orderBy("ts_ns").collect()] == [(second, "Added", "u1"), (2 * second, "Modified", "u1"), (3 * second - 1, "Deleted", "u1"), (3 * second, "Added", "u2"), (4 * second, "Modified", "u2"), (5 * second, "Deleted", "u2"), (6 * second, "Added", "u3")]
+    assert final(states).count() == 7
+    at = lambda s: replay.reconstruct_at(states, datetime(1970, 1, 1, 0, 0, s)).first()
+    assert [(r.uid, r.exists, r.verified, json.loads(r.state)["spec"]["x"] if r.state else None) for r in map(at, range(1, 7))] == [("u1", True, True, 1), ("u1", True, True, 2), ("u2", True, True, 5), ("u2", True, True, 6), ("u2", False, None, None), ("u3", True, True, 7)]
+    digest = library.object_digest(states.where(F.col("ts_ns") <= 3 * second), "c", "apps", "D", "n", "web").first()
+    assert (digest.last_event, digest.incarnations) == ("Added", 2)
+
+
+def test_replacement_within_one_instant(spark):
+    """With no time left before the successor, both share the instant, and the order is still that of arrival."""
+    rows = [observation(0, 5000, body=doc("u1")), observation(1, 5000, body=doc("u2", 2)), observation(2, 5000, body=doc("u2", 3))]
+    states = as_states(classify(spark.createDataFrame(rows, COLUMNS)))
+    assert {(r.event_type, r.uid, r.ts_ns) for r in states.collect()} == {("Added", "u1", 5000), ("Deleted", "u1", 5000), ("Added", "u2", 5000), ("Modified", "u2", 5000)}
+    r = replay.reconstruct_at(states, datetime(1970, 1, 2)).first()
+    assert (r.uid, r.exists, r.verified, r.steps) == ("u2", True, True, 1) and json.loads(r.state)["spec"]["x"] == 3
+    assert library.object_digest(states, "c", "apps", "D", "n", "web").first().last_event == "Modified"
+    assert final(states).first().uid == "u2"
+
+
+def test_late_deletion_of_an_earlier_incarnation(spark):
+    """A close-out that recovery wrote later, with or without a time of its own, changes nothing for the successor."""
+    second = 10**9
+    states = as_states(classify(spark.createDataFrame([observation(0, second, body=doc("u1")), observation(1, 2 * second, body=doc("u2", 4)), observation(2, 3 * second, body=doc("u2", 5))], COLUMNS)))
+    late = states.where("uid = 'u1' and event_type = 'Deleted'").withColumns({"ts_ns": F.lit(9 * second), "ts": F.timestamp_micros(F.lit(9_000_000)), "ingest_seq": F.lit(99).cast("long")})
+    r = replay.reconstruct_at(states.unionByName(late), datetime(1970, 1, 1, 0, 1)).first()
+    assert (r.uid, r.exists, r.verified, r.steps) == ("u2", True, True, 1)
+
+
+def test_times_keep_their_microsecond(spark):
+    ns = 1_705_811_179_890_576_000  # as a double it would lose its last digits
+    state = as_states(classify(spark.createDataFrame([observation(0, ns, body=doc()), observation(1, -1500, body=doc(), name="old")], COLUMNS)))
+    assert {r.name: r.us for r in state.select("name", F.unix_micros("ts").alias("us")).collect()} == {"web": ns // 1000, "old": -2}
+
+
+def test_a_scope_stops_as_a_whole(spark):
+    """All objects of the scope start anew, those of other scopes don't; nothing is written for the stop."""
+    rows = [observation(k, 10 + k, body=doc(), name=n, namespace=s, kind=d) for k, (n, s, d) in enumerate([("a", "n", "D"), ("b", "n", "D"), ("a", "m", "D"), ("a", "n", "E")])]
+    stop = lambda s: [observation(9, 20, "scope_stop", name="", namespace=s)]
+    again = [observation(10 + k, 30 + k, body=doc(), name=r[10], namespace=r[9], kind=r[8], warm=False) for k, r in enumerate(rows)]
+    got = lambda s: sorted((r.namespace, r.kind, r.name) for r in classify(spark.createDataFrame(rows + stop(s) + again, COLUMNS)).where("event_type = 'Snapshot'").collect())
+    assert got("n") == [("n", "D", "a"), ("n", "D", "b")]
+    assert got("") == [("m", "D", "a"), ("n", "D", "a"), ("n", "D", "b")]
+
+
+def test_a_batch_that_runs_again_replaces_what_it_wrote(spark, tmp_path):
+    states = as_states(classify(spark.createDataFrame(scenario(60), COLUMNS))).drop("sink")
+    path = str(tmp_path / "states")
+    for _ in range(2):
+        tables.append_states(states, path, "q-0")
+    tables.append_states(states.limit(3), path, "q-1")
+    assert tables.read_states(spark, path).count() == states.count() + 3
+    assert not validate_schema(tables.read_states(spark, path), STORED_STATES)
+
+
 def test_current_and_coalesced(spark):
     rows = observations.events(spark.createDataFrame(scenario(200), COLUMNS))
     last = {}

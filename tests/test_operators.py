@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import columns, selectors
+from tidemark.functions import columns, selectors, sql
 from tidemark.operators import metrics, recover, rules
 from tidemark.sources import adapter, churn, prometheus, tables
 from tidemark.sources.schema import RESOURCE_STATES, WATCH_SCOPES, validate_schema
@@ -68,6 +68,41 @@ def test_fan_out_sees_previous_labels(spark):
     assert [r.seq for r in rules.fan_out(rows, targets).collect()] == [1]
 
 
+def test_fan_out_has_one_row_for_each_sink_and_no_limit_of_selectors(spark):
+    """Several targets of a sink may fit; selectors are data, so thousands of them make no larger plan."""
+    schema = "sink string, `group` string, version string, kind string, namespace string, rule_keys array<string>, selectors array<string>, redactions array<string>"
+    many = [(f"s{k % 3}", "apps", "v1", "D", "" if k % 2 else "n", [f"r{k}"], [f"a in (x{k},y)", f"!b,c!={k}"], []) for k in range(3000)]
+    rows = spark.createDataFrame([(1, "apps", "D", "n", "p", {"a": "x7", "b": "1"}), (2, "apps", "D", "n", "q", {"b": "1"}), (3, "apps", "D", "z", "r", None), (4, "apps", "D", "z", "t", {"a": "x8", "b": ""})], "seq long, api_group string, kind string, namespace string, name string, labels map<string,string>")
+    out = rules.fan_out(rows, spark.createDataFrame(many, schema))
+    assert sorted((r.seq, r.sink) for r in out.collect()) == [(1, "s1"), (3, "s0"), (3, "s1"), (3, "s2")]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and len(plan) < 40_000
+    with pytest.raises(Exception, match="can't be read"):
+        rules.fan_out(rows, spark.createDataFrame([("s", "apps", "v1", "D", "", ["r"], ["a b"], [])], schema)).collect()
+
+
+def test_selectors_as_data_say_what_conditions_say(spark):
+    texts = ["a=b", "a!=b", "a notin (b,c)", "!a,b", "a in (b,c),d", "", "a="]
+    labels = [{}, {"a": "b"}, {"a": "c", "d": "1"}, {"b": ""}, {"a": ""}, None]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(labels)], "k int, labels map<string,string>")
+    terms = selectors.parsed(spark.createDataFrame([(t,) for t in texts], "s string"))
+    got = {(r.text, r.k) for r in df.crossJoin(terms).where(selectors.fits(F.col("terms"))).collect()}
+    assert got == {(t, r.k) for t in texts for r in df.where(selectors.condition(t)).collect()}
+
+
+def test_sinks_alert_by_all_their_series(spark):
+    """Two counters of one sink are rated apart: their values in turn aren't resets."""
+    rows = [(T0 + timedelta(minutes=m), "w", {"sink": "a", "outcome": "failed", "pod": p}, v) for m in range(6) for p, v in (("x", 1000.0), ("y", 5.0 + (m >= 3)))]
+    s = spark.createDataFrame(rows, "ts timestamp, name string, labels map<string,string>, value double")
+    got = {r.ts.minute: round(r.rate * 120, 6) for r in metrics.sum_of_rates(s, "sink", 120).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 1, 4: 1, 5: 0}
+    assert [r.ts.minute for r in metrics.writes_failing(s, "w", 60, 120).collect()] == [4]
+    assert [tuple(r) for r in metrics.latest_gauges(s, "w", "sink").collect()] == [("a", 1006.0)]
+    ready = [(T0 + timedelta(minutes=m), "rules", {"condition": "Ready", "status": "false", "kind": k}, v) for m in range(4) for k, v in (("A", 1.0), ("B", float(m % 2)))]
+    s = spark.createDataFrame(ready, "ts timestamp, name string, labels map<string,string>, value double")
+    assert [(r.labels["kind"], r.ts.minute) for r in metrics.rules_not_ready(s, seconds=180).collect()] == [("A", 3)]
+
+
 def test_redaction_texts():
     assert rules.canonical_redaction(["b", "a"], ["a", "c"]) == "a\nb\nc"
     assert rules.redaction_path({"annotation": "x.y/z"}) == 'metadata.annotations["x.y/z"]'
@@ -146,6 +181,9 @@ def test_tables(spark, tmp_path):
     plan = back._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(cluster_id" in plan and "yyyymm" in plan
     assert not validate_schema(tables.read_states(spark, path), RESOURCE_STATES)
+    sinks = str(tmp_path / "sinks")
+    tables.append_states(old.withColumn("sink", F.lit("s")), sinks)
+    assert all(g.startswith("sink=s/cluster_id=") for g in tables.expire_states(spark, sinks, datetime(2024, 1, 5)))
     before = spark.read.parquet(path).count()
     gone = tables.expire_states(spark, path, datetime(2024, 1, 5))
     assert gone and all("yyyymm=202311" in g or "yyyymm=202312" in g for g in gone)
@@ -172,6 +210,28 @@ def test_macros(spark):
             columns.expand(bad, {"ns": ["a"]}, T0, T0, 60)
 
 
+def test_typed_parameters(spark):
+    sql, args = columns.bound("SELECT {a:String} AS a, {n: UInt64} AS n, {f:Float64} AS f, {t:DateTime64(3)} AS t, '${x:sqlstring}' AS x", {"n": 7})
+    assert tuple(spark.sql(sql, args).first()) == ("", 7, 0, datetime(1970, 1, 1), "${x:sqlstring}")
+    assert columns.bound("SELECT {a:String}, {a:String}", {"a": "it's {b:String}"}) == ("SELECT :a, :a", {"a": "it's {b:String}"})
+    for bad, given in (("{a:Array(String)}", {}), ("{a:String}", {"b": 1})):
+        with pytest.raises(ValueError):
+            columns.bound(bad, given)
+    assert columns.bound("{a:Array(String)}", {"a": ["x"]})[1] == {"a": ["x"]}
+
+
+def test_functions_for_sql(spark):
+    sql.register(spark)
+    doc = '{"kind":"D","metadata":{"uid":"u","resourceVersion":"7"},"spec":{"b":1,"a":"x"}}'
+    df = spark.createDataFrame([(doc,), ("no json",), (None,)], "d string")
+    got = df.selectExpr("normalize_object(d, array('spec.a')) AS n", "canonical_json(d) AS c", """json_patch_apply(d, json_diff(d, '{"x":1}')) AS p""", "normalize_object(d, null).uid AS uid").collect()
+    assert (got[0].n.uid, got[0].n.resource_version, got[0].uid) == ("u", "7", "u") and '"a":"[REDACTED]"' in got[0].n.json
+    assert got[0].c.index('"a"') < got[0].c.index('"b"') and got[0].p == '{"x":1}'
+    assert all(tuple(r) == (None,) * 4 for r in got[1:])
+    lines = spark.sql("""SELECT * FROM parse_metrics('# HELP a\na{s="1"} 2\nbroken\nb 3')""").collect()
+    assert [(r.name, r.labels, r.value) for r in lines] == [("a", {"s": "1"}, 2.0), ("b", {}, 3.0)]
+
+
 def test_json_reads(spark):
     docs = ['{"a":"x","n":5,"o":{"b":"y"},"z":null}', "", "not json", '{"a":7}']
     df = spark.createDataFrame([(k, x) for k, x in enumerate(docs)], "k int, data string").orderBy("k")

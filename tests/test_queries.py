@@ -1,13 +1,16 @@
-"""Every registered query against its SQL in DuckDB, and golden rows of the demo history."""
+"""Every registered query against its SQL in DuckDB, and expected rows of a small history."""
 
+import json
 from datetime import datetime, timedelta
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from tidemark import registry
 from tidemark.operators.final import final
+from tidemark.operators.recover import unclosed_priors
 from tidemark.plans import dashboards as d
 from tidemark.plans import library as q
 
@@ -58,94 +61,93 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-BASE = datetime(2026, 8, 1, 12)
-G, H, S = "argocd-controller", "kubectl-edit", "kube-controller-manager"
-F, P = '{"kind":"Deployment"}', '[{"op":"replace","path":"/spec/replicas","value":3}]'
-
-
-def event(kind, reason, count, field, counter):
-    return f'{{"type":"{kind}","reason":"{reason}","message":"m","{counter}":{count},"{field}":{{"kind":"Deployment","namespace":"demo","name":"api","uid":"d1"}}}}'
-
-
-E3, E7 = (event("Warning", "BackOff", n, "involvedObject", "count") for n in (3, 7))
-E2 = event("Normal", "ScalingReplicaSet", 1, "regarding", "deprecatedCount")
-DEMO = [
-    (0, "Added", "apps", "Deployment", "demo", "api", "d1", "100", [G], F, "", "sha-api-0"),
-    (5, "Modified", "apps", "Deployment", "demo", "api", "d1", "110", [G], "", P, "sha-api-1"),
-    (9, "Modified", "apps", "Deployment", "demo", "api", "d1", "120", [H], "", P, "sha-api-2"),
-    (14, "Modified", "apps", "Deployment", "demo", "api", "d1", "130", [G, S], "", P, "sha-api-3"),
-    (20, "Checkpoint", "apps", "Deployment", "demo", "api", "d1", "140", [G], F, P, "sha-api-4"),
-    (2, "Added", "", "ConfigMap", "demo", "settings", "d3", "200", [H], F, "", "sha-cm-0"),
-    (11, "Modified", "", "ConfigMap", "demo", "settings", "d3", "210", [H], "", P, "sha-cm-1"),
-    (3, "Added", "apps", "Deployment", "kube-system", "coredns", "d4", "300", [S], F, "", "sha-dns-0"),
-    (12, "Modified", "apps", "Deployment", "kube-system", "coredns", "d4", "310", [S], "", P, "sha-dns-1"),
-    (1, "Snapshot", "apps", "Deployment", "demo", "worker", "d5", "400", [G], F, "", "sha-wrk-0"),
-    (4, "Added", "apps", "Deployment", "demo", "legacy", "d2", "500", [G], F, "", "sha-leg-0"),
-    (18, "Deleted", "apps", "Deployment", "demo", "legacy", "d2", "510", [], "", "", ""),
-    (6, "Added", "rbac.authorization.k8s.io", "ClusterRole", "", "viewer", "d6", "600", [G], F, "", "sha-cr-0"),
-    (7, "Added", "", "Event", "demo", "api.17c0", "d7", "700", ["kubelet"], E3, "", "sha-ev-0"),
-    (10, "Modified", "", "Event", "demo", "api.17c0", "d7", "710", ["kubelet"], E7, "", "sha-ev-1"),
-    (13, "Added", "events.k8s.io", "Event", "demo", "api.17c1", "d8", "720", ["deployment-controller"], E2, "", "sha-ev-2"),
+T0 = datetime(2025, 3, 10, 8)
+FLEET, ANA, BOT = "fleet", "ana", "scaler-bot"
+FULL, PATCH = '{"spec":{"slots":2}}', '[{"op":"add","path":"/spec/slots","value":4}]'
+
+
+def at(seconds):
+    return T0 + timedelta(seconds=seconds)
+
+
+def note(reason, times, kind="Warning", about="involvedObject", counter="count", of=("CronJob", "jobs", "report", "r1")):
+    """An Event's document."""
+    return json.dumps({"type": kind, "reason": reason, "message": f"{reason}!", counter: times, about: dict(zip(("kind", "namespace", "name", "uid"), of, strict=True))}, separators=(",", ":"))
+
+
+# One report job that people and a bot change in turn, a service that is replaced, an agent elsewhere.
+REPORT, FRONT, AGENT, TICK = ("batch", "CronJob", "jobs", "report"), ("", "Service", "jobs", "front"), ("apps", "DaemonSet", "other", "agent"), ("", "Event", "jobs", "report.tick")
+HISTORY = [
+    (0, "Added", *REPORT, "r1", [FLEET], FULL, ""),
+    (5, "Snapshot", *FRONT, "f1", [FLEET], FULL, ""),
+    (20, "Added", *TICK, "t1", ["cron"], note("Missed", 2), ""),
+    (40, "Modified", *REPORT, "r1", [ANA], "", PATCH),
+    (41, "Modified", *REPORT, "r1", [ANA, BOT], "", PATCH),
+    (70, "Modified", *FRONT, "f1", [FLEET], "", PATCH),
+    (80, "Modified", *TICK, "t1", ["cron"], note("Missed", 9), ""),
+    (95, "Deleted", *FRONT, "f1", [], "", ""),
+    (96, "Added", *FRONT, "f2", [ANA], FULL, ""),
+    (130, "Modified", *REPORT, "r1", [FLEET], "", PATCH),
+    (200, "Checkpoint", *REPORT, "r1", [BOT], FULL, PATCH),
+    (210, "Added", "events.k8s.io", "Event", "jobs", "report.run", "t2", ["runner"], note("Ran", 1, "Normal", "regarding", "deprecatedCount"), ""),
+    (220, "Added", *AGENT, "a1", [FLEET], FULL, ""),
+    (260, "Modified", *AGENT, "a1", [BOT], "", PATCH),
+    (300, "Deleted", *AGENT, "a1", [], "", ""),
 ]
-START, END = BASE - timedelta(minutes=30), BASE + timedelta(minutes=90)
-OBJ = ("demo", "Deployment", "demo", "api")
+START, END = at(-60), at(3600)
+JOB = ("lab", "CronJob", "jobs", "report")
 
 
 @pytest.fixture(scope="module")
-def demo(spark):
-    rows = [(BASE + timedelta(minutes=r[0]), "demo", *r[1:], k) for k, r in enumerate([*DEMO, DEMO[1]])]  # one came twice
-    return spark.createDataFrame(rows, "ts timestamp, cluster_id string, event_type string, api_group string, kind string, namespace string, name string, uid string, resource_version string, actors array<string>, data string, diff string, sha256 string, ingest_seq long").withColumn("api_version", __import__("pyspark.sql.functions", fromlist=["lit"]).lit("v1"))
+def lab(spark):
+    """The history, with two rows delivered twice."""
+    rows = [(at(r[0]), "lab", *r[1:10], f"hash-{r[0]}" if r[1] != "Deleted" else "", str(500 + r[0]), k, "v1") for k, r in enumerate([*HISTORY, HISTORY[3], HISTORY[14]])]
+    return spark.createDataFrame(rows, "ts timestamp, cluster_id string, event_type string, api_group string, kind string, namespace string, name string, uid string, actors array<string>, data string, diff string, sha256 string, resource_version string, ingest_seq long, api_version string")
 
 
 def rows(df):
     return [tuple(r) for r in df.collect()]
 
 
-def minute(n):
-    return BASE + timedelta(minutes=n)
-
-
-def test_demo_library(demo):
-    assert final(demo).count() == 16
-    assert len(rows(q.incident_window(demo, "demo", "demo", START, END))) == 13
-    assert [r[:4] for r in rows(q.gitops_drift(demo, "demo", START, END, G))] == [("demo", "ConfigMap", "settings", 1), ("demo", "Deployment", "api", 1), ("demo", "Event", "api.17c0", 1), ("kube-system", "Deployment", "coredns", 1)]
-    assert rows(q.top_flappers(demo, "demo", START, END, 3)) == [("demo", "Deployment", "api", 4, f"{G}, {S}, {H}", minute(5), minute(20))]
-    assert rows(q.object_digest(demo, "demo", "apps", "Deployment", "demo", "api")) == [("Checkpoint", "sha-api-4", "140", minute(20), 1)]
-    assert rows(q.object_digest(demo, "demo", "apps", "Deployment", "demo", "none")) == [("", "", "", None, 0)]
-    assert rows(q.deleted_last_state(demo, "demo", START, END)) == [("demo", "Deployment", "legacy", "d2", minute(18), F, minute(4))]
-    assert rows(q.events_by_uid(demo, "demo", "demo", minute(10), "d1")) == [(minute(7), "Warning", "BackOff", "m", 3, "api.17c0"), (minute(10), "Warning", "BackOff", "m", 7, "api.17c0"), (minute(13), "Normal", "ScalingReplicaSet", "m", 1, "api.17c1")]
-    assert len(rows(q.events_by_name(demo, *OBJ, START, END))) == 3
-    assert [r[1] for r in rows(q.changes_and_events(demo, "demo", "apps", "Deployment", "demo", "api", "d1", START, END))] == ["change", "change", "event", "change", "event", "event", "change", "change"]
-    assert rows(q.noisy_reasons(demo, "demo", START, END)) == [("BackOff", "Deployment", 2, 1)]
-    assert rows(q.latest_full_state_at(demo, *OBJ, minute(10))) == [(minute(0), "Added", F)]
-
-
-def test_demo_dashboards(demo):
-    p = d.Panel("demo", START, END, 600, ["demo", "kube-system"], ["Deployment", "ConfigMap"], manager=G, threshold=3)
-    assert rows(d.gitops_share_pct(demo, p)) == [(42.9,)]
-    assert rows(d.objects_with_drift(demo, p)) == [(4,)]
-    assert rows(d.objects_over_threshold(demo, p)) == [(1,)]
-    assert rows(d.modified_rows_in_window(demo, p)) == [(6,)]
-    assert rows(d.kinds_by_volume(demo, p))[0][:3] == ("apps/Deployment", 10, 4)
-    assert rows(d.object_latest_state(demo, p, *OBJ[1:]))[0][0] == "Checkpoint"
-    assert [r[1] for r in rows(d.object_rows_and_diffs(demo, p, *OBJ[1:]))] == ["Checkpoint", "Modified", "Modified", "Modified", "Added"]
-    assert len(rows(d.object_events(demo, p, *OBJ[1:]))) == 3
-    assert rows(d.picker(demo, "namespace", cluster_id="demo")) == [("",), ("demo",), ("kube-system",)]
-
-
-def test_incarnations(spark):
-    at = lambda h: BASE + timedelta(hours=h)
-    of = ("rc", "apps", "Deployment", "default", "web")
-    data = [(at(0), *of, "a", "Added", "sha-a1", "v1beta1", 0), (at(1), *of, "a", "Deleted", "", "v1beta1", 1), (at(4), *of, "c", "Added", "sha-c1", "v1", 2), (at(2), *of, "b", "Added", "sha-b1", "v1beta2", 3), (at(3), *of, "b", "Modified", "sha-b2", "v1beta2", 4)]
+def test_lab_library(lab):
+    assert final(lab).count() == 15
+    assert len(rows(q.incident_window(lab, "lab", "jobs", START, END))) == 12
+    assert [r[:4] for r in rows(q.gitops_drift(lab, "lab", START, END, FLEET))] == [("jobs", "CronJob", "report", 3), ("jobs", "Event", "report.tick", 1), ("other", "DaemonSet", "agent", 1)]
+    assert rows(q.top_flappers(lab, "lab", START, END, 2)) == [("jobs", "CronJob", "report", 4, f"{ANA}, {FLEET}, {BOT}", at(40), at(200))]
+    assert rows(q.object_digest(lab, "lab", *FRONT)) == [("Added", "hash-96", "596", at(96), 2)]
+    assert rows(q.object_digest(lab, "lab", *AGENT)) == [("Deleted", "", "800", at(300), 1)]
+    assert rows(q.object_digest(lab, "lab", "batch", "CronJob", "jobs", "none")) == [("", "", "", None, 0)]
+    assert rows(q.deleted_last_state(lab, "lab", START, END)) == [("other", "DaemonSet", "agent", "a1", at(300), FULL, at(220)), ("jobs", "Service", "front", "f1", at(95), FULL, at(5))]
+    assert rows(q.events_by_uid(lab, "lab", "jobs", at(100), "r1")) == [(at(20), "Warning", "Missed", "Missed!", 2, "report.tick"), (at(80), "Warning", "Missed", "Missed!", 9, "report.tick"), (at(210), "Normal", "Ran", "Ran!", 1, "report.run")]
+    assert [r[1] for r in rows(q.events_by_name(lab, *JOB, at(50), END))] == ["Missed", "Ran"]
+    assert [r[1] for r in rows(q.changes_and_events(lab, "lab", "batch", "CronJob", "jobs", "report", "r1", START, END))] == ["change", "event", "change", "change", "event", "change", "change", "event"]
+    assert rows(q.noisy_reasons(lab, "lab", START, END)) == [("Missed", "CronJob", 2, 1)]
+    assert rows(q.latest_full_state_at(lab, *JOB, at(150))) == [(at(0), "Added", FULL)]
+
+
+def test_lab_dashboards(lab):
+    p = d.Panel("lab", START, END, 60, ["jobs", "other"], ["CronJob", "Service", "DaemonSet"], manager=FLEET, threshold=2)
+    assert rows(d.gitops_share_pct(lab, p)) == [(28.6,)]  # two of seven changes, of events too
+    assert rows(d.objects_with_drift(lab, p)) == [(2,)]
+    assert rows(d.objects_over_threshold(lab, p)) == [(1,)]
+    assert rows(d.modified_rows_in_window(lab, p)) == [(6,)]
+    assert rows(d.object_latest_state(lab, p, *JOB[1:]))[0][0] == "Checkpoint"
+    assert rows(d.object_latest_state(lab, p, *FRONT[1:]))[0][:3] == ("Added", "f2", "596")
+    assert [r[1] for r in rows(d.object_rows_and_diffs(lab, p, *JOB[1:]))] == ["Checkpoint", "Modified", "Modified", "Modified", "Added"]
+    assert len(rows(d.object_events(lab, p, *JOB[1:]))) == 3
+    assert rows(d.picker(lab, "namespace", cluster_id="lab")) == [("jobs",), ("other",)]
+
+
+def test_successive_incarnations(spark):
+    """Of a name that four objects have had, those whose end history doesn't tell are open; closing one leaves the others."""
     schema = "ts timestamp, cluster_id string, api_group string, kind string, namespace string, name string, uid string, event_type string, sha256 string, api_version string, ingest_seq long"
-    rs = spark.createDataFrame(data, schema)
-    want = {("default", "web", "b", "sha-b2", "v1beta2", at(3)), ("default", "web", "c", "sha-c1", "v1", at(4))}
-    assert set(rows(q.last_known_states(rs, "rc", "apps", "Deployment"))) == want
-    from tidemark.operators.recover import unclosed_priors
-
-    assert [r.uid for r in unclosed_priors(rs).collect()] == ["b"]
-    # A close-out has the time of the row that it closes: the reference key loses that row, the safe one doesn't.
-    closed = rs.unionAll(spark.createDataFrame([(at(3), *of, "b", "Deleted", "", "v1beta2", 5)], schema))
-    assert final(closed).where("uid = 'b'").count() == 2
-    assert final(closed, "safe").where("uid = 'b'").count() == 3
-    assert [r[2] for r in rows(q.last_known_states(closed, "rc", "apps", "Deployment"))] == ["c"]
+    of = ("lab", "batch", "CronJob", "jobs", "sweep")
+    seen = [("w", 10, "Snapshot", "v1"), ("w", 12, "Modified", "v1"), ("x", 20, "Added", "v1"), ("x", 25, "Deleted", "v1"), ("y", 31, "Added", "v2"), ("z", 47, "Added", "v2"), ("z", 48, "Checkpoint", "v2")]
+    rs = spark.createDataFrame([(at(s), *of, uid, what, "" if what == "Deleted" else f"{uid}{s}", version, 100 - k) for k, (uid, s, what, version) in enumerate(seen)], schema)
+    assert set(rows(q.last_known_states(rs, "lab", "batch", "CronJob"))) == {("jobs", "sweep", "w", "w12", "v1", at(12)), ("jobs", "sweep", "y", "y31", "v2", at(31)), ("jobs", "sweep", "z", "z48", "v2", at(48))}
+    assert sorted(r.uid for r in unclosed_priors(rs).collect()) == ["w", "y"]
+    # A close-out of recovery has the time of the row that it closes: the reference key loses that row, the safe one doesn't.
+    closed = rs.unionAll(spark.createDataFrame([(at(12), *of, "w", "Deleted", "", "v1", 200)], schema))
+    assert (final(closed).where("uid = 'w'").count(), final(closed, "safe").where("uid = 'w'").count()) == (2, 3)
+    assert sorted(r[2] for r in rows(q.last_known_states(closed, "lab", "batch", "CronJob"))) == ["y", "z"]
+    assert rows(q.object_digest(closed.withColumn("resource_version", F.lit("")), *of))[0][0] == "Checkpoint"

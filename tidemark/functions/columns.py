@@ -109,3 +109,24 @@ def expand(sql: str, variables: dict[str, list[str]], start: datetime, end: date
         raise ValueError(f"unknown format {form!r} of variable {name!r}")
 
     return _VARIABLE.sub(variable, _MACRO.sub(macro, sql))
+
+
+_PARAMETER = re.compile(r"(?<!\$)\{(\w+):\s*(\w+)[^{}]*\}")
+#: What a parameter is that nobody gave, by the beginning of its type's name.
+_UNSET = {"String": "", "LowCardinality": "", "Date": datetime(1970, 1, 1), "UInt": 0, "Int": 0, "Float": 0.0, "Bool": False}
+
+
+def bound(sql: str, values: dict[str, object] | None = None) -> tuple[str, dict[str, object]]:
+    """A statement with ``{name:Type}`` parameters as one with named markers, and its arguments for ``spark.sql``.
+
+    Parameters without a value get that of their type; an unknown type or a value that no parameter has is an error.
+    """
+    given, arguments = values or {}, {}
+    for name, kind in _PARAMETER.findall(sql):
+        default = next((v for k, v in _UNSET.items() if kind.startswith(k)), None)
+        if name not in given and default is None:
+            raise ValueError(f"parameter {name!r}: unknown type {kind!r}")
+        arguments[name] = given.get(name, default)
+    if unknown := given.keys() - arguments.keys():
+        raise ValueError(f"no parameters {sorted(unknown)}")
+    return _PARAMETER.sub(lambda m: f":{m[1]}", sql), arguments

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _KEY = r"[A-Za-z0-9](?:[A-Za-z0-9._/-]*[A-Za-z0-9])?"
@@ -78,3 +80,32 @@ def condition(selector: str, labels: Column | str = "labels") -> Column:
 def any_condition(selectors: list[str], labels: Column | str = "labels") -> Column:
     """Whether one of several rules' selectors fits."""
     return reduce(lambda a, b: a | b, [condition(s, labels) for s in selectors], F.lit(False))
+
+
+#: Terms of a selector as data.
+TERMS = "array<struct<key:string,op:string,values:array<string>>>"
+
+
+def parsed(texts: DataFrame) -> DataFrame:
+    """``text``, ``canonical`` and ``terms`` of each selector in the first column; distinct selectors are parsed on the workers, and a bad one is an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.schema([("text", pa.string()), ("canonical", pa.string()), ("terms", pa.list_(pa.struct([("key", pa.string()), ("op", pa.string()), ("values", pa.list_(pa.string()))])))])
+        for batch in batches:
+            rows = [{"text": t, "canonical": canonical(t), "terms": [{"key": k, "op": op, "values": list(v)} for k, op, v in parse(t)]} for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_pylist(rows, kind)
+
+    return texts.select(F.col(texts.columns[0]).alias("text")).distinct().mapInArrow(run, f"text string, canonical string, terms {TERMS}")
+
+
+def fits(terms: Column, labels: Column | str = "labels") -> Column:
+    """Whether a map column has what the terms ask for; a null map has no labels."""
+    labels = F.col(labels) if isinstance(labels, str) else labels
+    labels = F.coalesce(labels, F.create_map().cast("map<string,string>"))
+
+    def one(t: Column) -> Column:
+        there = F.map_contains_key(labels, t["key"])
+        among = there & F.coalesce(F.array_contains(t["values"], F.try_element_at(labels, t["key"])), F.lit(False))
+        return F.when(t["op"] == "in", among).when(t["op"] == "notin", ~among).when(t["op"] == "exists", there).otherwise(~there)
+
+    return F.forall(terms, one)

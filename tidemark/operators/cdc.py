@@ -7,7 +7,13 @@ object, sorts each partition, and passes over it once, so the memory of a task
 does not grow with the number of observations of an object.
 
 Rows carry the observation's time, never the clock's: a task that runs again
-emits the same rows.
+emits the same rows.  A close-out (the deletion of an object whose name another
+one has taken) comes before its successor: it is dated one nanosecond earlier,
+unless the closed object has a row that late; then both share an instant, and
+:func:`tidemark.sources.schema.latest` puts it first.
+
+A ``scope_stop`` without a name stops the whole scope: all objects of its sink,
+cluster, group and kind, in its namespace (or in all, if it names none).
 """
 
 from __future__ import annotations
@@ -24,18 +30,21 @@ from tidemark.functions.documents import Redaction, canonical_json, json_diff, n
 
 #: The identity of an object within a sink.
 KEY = ["sink", "cluster_id", "api_group", "kind", "namespace", "name"]
+#: Before all observations.
+BEFORE = -(1 << 62)
 OUT = "seq long, ts_ns long, sink string, cluster_id string, event_type string, api_group string, api_version string, kind string, namespace string, name string, uid string, resource_version string, labels map<string,string>, actors array<string>, data string, diff string, sha256 string, error string"
 
 
 @dataclass(frozen=True)
 class State:
-    """The last state that was written; ``json`` is None if only its hash is known (seeded from history)."""
+    """The last state that was written, at ``at`` (ns); ``json`` is None if only its hash is known (seeded from history)."""
 
     uid: str
     sha256: str
     api_version: str = ""
     json: str | None = None
     run: int = 0
+    at: int = BEFORE
 
 
 def ephemeral(group: str, kind: str) -> bool:
@@ -87,7 +96,7 @@ class Classifier:
                 event = "Snapshot"
         elif state.uid and state.uid != n["uid"]:
             if not events:
-                rows.append(self._deleted(o, state))
+                rows.append(self._deleted(o | {"ts_ns": o["ts_ns"] - (state.at < o["ts_ns"] - 1)}, state))
         elif state.sha256 == n["sha256"]:
             return state, []
         else:
@@ -100,7 +109,7 @@ class Classifier:
                 else:
                     data = ""
         rows.append(self._row(o, event, n["api_version"], n["uid"]) | {k: n[k] for k in ("resource_version", "labels", "actors", "sha256")} | {"data": data, "diff": diff})
-        return State(n["uid"], n["sha256"], n["api_version"], None if events else n["json"], run), rows
+        return State(n["uid"], n["sha256"], n["api_version"], None if events else n["json"], run, o["ts_ns"]), rows
 
     @staticmethod
     def _patch(old: str, new: str) -> str | None:
@@ -140,12 +149,24 @@ def observed(df: DataFrame) -> DataFrame:
     return df.withColumns(text | {"scope_warm": F.coalesce("scope_warm", F.lit(True))}).select(*KEY, "seq", "ts_ns", "op", "object_json", "scope_warm")
 
 
+def each_object_stopped(rows: DataFrame) -> DataFrame:
+    """Stops of whole scopes as one for each object of the scope that is observed; scopes are few beside objects."""
+    whole = (F.col("op") == "scope_stop") & (F.col("name") == "")
+    stops = rows.where(whole).select(*[F.col(c).alias(f"s_{c}") for c in ("sink", "cluster_id", "api_group", "kind", "namespace")], "seq", "ts_ns", "op", "object_json", "scope_warm")
+    named = rows.where("name <> ''").select(*KEY).distinct()
+    same = [F.col(c) == F.col(f"s_{c}") for c in ("sink", "cluster_id", "api_group", "kind")]
+    # By equality twice, so that no pair of rows is tried that differs in the scope's columns.
+    own = named.join(stops.where("s_namespace <> ''"), [*same, F.col("namespace") == F.col("s_namespace")])
+    all_of = named.join(stops.where("s_namespace = ''"), same)
+    return rows.where(~whole).unionByName(own.unionByName(all_of).select(*rows.columns))
+
+
 def classify(observations: DataFrame, classifier: Classifier | None = None, seed: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
     """Rows of all observations, in batch; ``seed`` has last known states (KEY, uid, sha256, api_version), which come before everything."""
     classifier = classifier or Classifier()
-    rows = observed(observations).withColumns({"uid": F.lit(None).cast("string"), "sha256": F.lit(None).cast("string"), "api_version": F.lit(None).cast("string")})
+    rows = each_object_stopped(observed(observations)).withColumns({"uid": F.lit(None).cast("string"), "sha256": F.lit(None).cast("string"), "api_version": F.lit(None).cast("string")})
     if seed is not None:
-        start = {"seq": F.lit(-1).cast("long"), "ts_ns": F.lit(-(1 << 62)).cast("long"), "op": F.lit("seed"), "object_json": F.lit(None).cast("string"), "scope_warm": F.lit(True)}
+        start = {"seq": F.lit(-1).cast("long"), "ts_ns": F.lit(BEFORE).cast("long"), "op": F.lit("seed"), "object_json": F.lit(None).cast("string"), "scope_warm": F.lit(True)}
         rows = rows.unionByName(seed.withColumns(start).select(*rows.columns))
     dealt = rows.repartition(partitions, *KEY) if partitions else rows.repartition(*KEY)
     return dealt.sortWithinPartitions(*KEY, "ts_ns", "seq").mapInArrow(_pass(classifier), OUT)
@@ -174,7 +195,7 @@ def _pass(classifier: Classifier):
 def as_states(rows: DataFrame) -> DataFrame:
     """Classified rows as rows of resource_states, without those that failed."""
     good = rows.where("error is null")
-    return good.withColumn("ts", F.timestamp_micros(F.floor(F.col("ts_ns") / 1000))).withColumnRenamed("seq", "ingest_seq").drop("error")
+    return good.withColumn("ts", F.timestamp_micros(F.expr("(ts_ns - pmod(ts_ns, 1000)) div 1000"))).withColumnRenamed("seq", "ingest_seq").drop("error")
 
 
 def quarantined(rows: DataFrame) -> DataFrame:

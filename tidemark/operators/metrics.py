@@ -58,19 +58,39 @@ def queue_nearly_full(samples: DataFrame, depth: str = "write_queue_depth", capa
     return held(both, (F.col("capacity") > 0) & (F.col("value") / F.col("capacity") > share), ["sink"], seconds)
 
 
-def writes_failing(samples: DataFrame, name: str = "writes_total", seconds: int = 600) -> DataFrame:
-    rows = _of(samples, name).where(F.col("labels.outcome") == "failed").withColumn("sink", F.col("labels.sink"))
-    return held(rate(rows, ["sink"], 300), F.col("rate") > 0, ["sink"], seconds)
+def _series(samples: DataFrame) -> DataFrame:
+    """``__series``: the whole label set, which tells one series of a metric from another."""
+    return samples.withColumn("__series", F.array_sort(F.map_entries("labels")))
 
 
-def enqueue_timeouts(samples: DataFrame, name: str = "enqueue_timeouts_total", seconds: int = 300) -> DataFrame:
-    rows = _of(samples, name).withColumn("sink", F.col("labels.sink"))
-    return held(rate(rows, ["sink"], 300), F.col("rate") > 0, ["sink"], seconds)
+def sum_of_rates(samples: DataFrame, by: str, seconds: int = 300) -> DataFrame:
+    """``by``, ts and ``rate``: at each sample's time, growth per second over the ``seconds`` up to it, of each label set for itself, summed to label ``by``."""
+    grown = increases(_series(samples), ["__series"]).select(F.col("labels")[by].alias(by), "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("__s"), "increase")
+    at = grown.groupBy(by, "ts", "__s").agg(F.coalesce(F.sum("increase"), F.lit(0.0)).alias("increase"))
+    span = Window.partitionBy(by).orderBy("__s").rangeBetween(-seconds * 1_000_000 + 1, 0)
+    return at.select(by, "ts", (F.sum("increase").over(span) / seconds).alias("rate"))
+
+
+def writes_failing(samples: DataFrame, name: str = "writes_total", seconds: int = 600, window: int = 300) -> DataFrame:
+    """Sinks whose failed writes, all series together, have grown for ``seconds``."""
+    rows = _of(samples, name).where(F.col("labels.outcome") == "failed")
+    return held(sum_of_rates(rows, "sink", window), F.col("rate") > 0, ["sink"], seconds)
+
+
+def enqueue_timeouts(samples: DataFrame, name: str = "enqueue_timeouts_total", seconds: int = 300, window: int = 300) -> DataFrame:
+    return held(sum_of_rates(_of(samples, name), "sink", window), F.col("rate") > 0, ["sink"], seconds)
 
 
 def rules_not_ready(samples: DataFrame, name: str = "rules", seconds: int = 900) -> DataFrame:
+    """Samples of a label set that has counted rules which aren't ready for ``seconds``."""
     rows = _of(samples, name).where((F.col("labels.condition") == "Ready") & (F.col("labels.status") == "false"))
-    return held(rows, F.col("value") > 0, ["name"], seconds)
+    return held(_series(rows), F.col("value") > 0, ["__series"], seconds).drop("__series")
+
+
+def latest_gauges(samples: DataFrame, name: str, by: str) -> DataFrame:
+    """The last value of each label set of a gauge, summed to label ``by``."""
+    last = _series(_of(samples, name)).groupBy("__series", F.col("labels")[by].alias(by)).agg(F.max_by("value", "ts").alias("value"))
+    return last.groupBy(by).agg(F.sum("value").alias("value"))
 
 
 def find(samples: DataFrame, name: str, **labels: str) -> DataFrame:

@@ -53,7 +53,11 @@ def in_scopes(states: DataFrame, scopes: DataFrame) -> DataFrame:
 
 def zombies(history: DataFrame, live: DataFrame) -> DataFrame:
     """Current incarnations that are not live: absent, or replaced by another uid."""
-    current = split_incarnations(known(history)).where("current").where(~is_ephemeral())
+    return _zombies(split_incarnations(known(history)), live)
+
+
+def _zombies(states: DataFrame, live: DataFrame) -> DataFrame:
+    current = states.where("current").where(~is_ephemeral())
     there = live.select(*IDENTITY, F.col("uid").alias("live_uid")).distinct()
     same = current.join(live.select(*IDENTITY, "uid").distinct(), [*IDENTITY, "uid"], "left_anti")
     names = there.select(*IDENTITY).distinct().withColumn("replaced", F.lit(True))
@@ -83,7 +87,7 @@ def recover(history: DataFrame, scopes: DataFrame, live: DataFrame, desired: Dat
     moment = F.lit(f"{now:%Y-%m-%d %H:%M:%S.%f}").cast(kind)
     states = split_incarnations(known(history))
     seed = states.where("current").select(*IDENTITY, "uid", "sha256", "api_version", "ts")
-    gone = zombies(history, live)
+    gone = _zombies(states, live)
     absent = _deletion(gone.where("not replaced"), moment, F.lit(""))
     priors = states.where("not current").where(~is_ephemeral()).join(live.select(*IDENTITY, "uid"), [*IDENTITY, "uid"], "left_anti")
     closed = _deletion(gone.where("replaced").drop("replaced").unionByName(priors.drop("at", "current")), F.col("ts"), F.col("api_version"))

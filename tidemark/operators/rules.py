@@ -6,13 +6,14 @@ struct(group, version, kind, selector), extra_redaction array.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.documents import Redaction, annotation_path
-from tidemark.functions.selectors import any_condition, canonical
-from tidemark.operators.cdc import KEY
+from tidemark.functions.selectors import fits, parsed
 
+#: So many rows of targets are sent to all workers; more are joined by exchange.
+FEW = 10_000
 TARGET = ["sink", "group", "version", "kind", "namespace"]
 
 
@@ -48,12 +49,9 @@ def expand_rules(rules: DataFrame) -> DataFrame:
 
 
 def canonical_selectors(targets: DataFrame) -> DataFrame:
-    """Selectors in one spelling each: the distinct ones are few and are parsed on the driver."""
-    seen = [r[0] for r in targets.select("selector").distinct().limit(100_001).collect()]
-    if len(seen) > 100_000:
-        raise ValueError("more than 100,000 different selectors")
-    pairs = [x for s in seen for x in (F.lit(s), F.lit(canonical(s)))]
-    return targets.withColumn("selector", F.create_map(*pairs)[F.col("selector")]) if pairs else targets
+    """Selectors in one spelling each."""
+    spelled = parsed(targets.select("selector")).select(F.col("text").alias("__t"), "canonical")
+    return targets.join(spelled, F.col("selector") == F.col("__t")).withColumn("selector", F.col("canonical")).drop("__t", "canonical")
 
 
 def cluster_scoped_only(targets: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -92,25 +90,25 @@ def fan_out(observations: DataFrame, targets: DataFrame, previous_labels: str |
     """An observation for each sink with a target it fits: same group and kind, its namespace or all, and one of the selectors.
 
     ``labels`` (and ``previous_labels``, so that an object that just stopped to fit is
-    still told) are map columns of ``observations``.  Selectors become one condition
-    for each distinct list of them; targets are joined by equality, twice.
+    still told) are map columns of ``observations``.  The targets of a (sink, group,
+    kind) are one row, so an observation meets each sink once and is never exchanged
+    to be made distinct; selectors travel as data, however many there are.
     """
-    keyed = targets.select(F.col("sink").alias("t_sink"), F.col("group").alias("t_group"), F.col("kind").alias("t_kind"), F.col("namespace").alias("t_ns"), "selectors")
-    lists = [r[0] for r in targets.select("selectors").distinct().limit(10_001).collect()]
-    if len(lists) > 10_000:
-        raise ValueError("more than 10,000 different lists of selectors")
-    fits = F.lit(False)
-    for some in lists:
-        one = any_condition(some)
+    have = observations.drop("sink").columns
+    terms = parsed(targets.select(F.explode("selectors").alias("s"))).select("text", "terms")
+    each = targets.select("sink", "group", "kind", "namespace", F.explode("selectors").alias("text")).join(terms, "text")
+    merged = each.groupBy(F.col("sink").alias("t_sink"), F.col("group").alias("t_group"), F.col("kind").alias("t_kind")).agg(F.collect_set(F.struct("namespace", "terms")).alias("t_wants"))
+    if merged.limit(FEW + 1).count() <= FEW:
+        merged = F.broadcast(merged)
+    rows = observations.drop("sink").join(merged, (F.col("api_group") == F.col("t_group")) & (F.col("kind") == F.col("t_kind")))
+
+    def wanted(t: Column) -> Column:
+        told = fits(t["terms"])
         if previous_labels:
-            one = one | any_condition(some, previous_labels)
-        fits = fits | ((F.col("selectors") == F.array(*map(F.lit, some))) & one)
-    same = (F.col("api_group") == F.col("t_group")) & (F.col("kind") == F.col("t_kind"))
-    rows = observations.drop("sink")
-    exact = rows.where("namespace <> ''").join(keyed.where("t_ns <> ''"), same & (F.col("namespace") == F.col("t_ns")))
-    wide = rows.join(keyed.where("t_ns = ''"), same)
-    out = exact.unionByName(wide).where(fits).withColumnRenamed("t_sink", "sink").drop("t_group", "t_kind", "t_ns", "selectors")
-    return out.dropDuplicates([*KEY, "seq"]) if "cluster_id" in out.columns else out.dropDuplicates(["sink", "api_group", "kind", "namespace", "name", "seq"])
+            told = told | fits(t["terms"], previous_labels)
+        return ((t["namespace"] == "") | (t["namespace"] == F.col("namespace"))) & told
+
+    return rows.where(F.exists("t_wants", wanted)).select(*have, F.col("t_sink").alias("sink"))
 
 
 def with_previous_labels(observations: DataFrame) -> DataFrame:

@@ -153,7 +153,7 @@ def object_field_managers(rs: DataFrame, p: Panel, kind: str, namespace: str, na
 
 def object_latest_state(rs: DataFrame, p: Panel, kind: str, namespace: str, name: str) -> DataFrame:
     rows = rs.where((F.col("cluster_id") == p.cluster) & (F.col("kind") == kind) & (F.col("namespace") == namespace) & (F.col("name") == name))
-    order = latest(rs)
+    order = latest(rs, incarnations=True)
     last = {"last_event": "event_type", "current_uid": "uid", "resource_version": "resource_version", "sha256": "sha256"}
     found = [F.coalesce(F.max_by(c, order), F.lit("")).alias(a) for a, c in last.items()]
     return rows.agg(*found, F.max("ts").alias("last_seen"), F.count("*").alias("rows_recorded"), F.count_distinct("uid").alias("incarnations"))

@@ -88,7 +88,7 @@ def object_history_to(rs: DataFrame, cluster: str, group: str, kind: str, namesp
 
 def object_digest(rs: DataFrame, cluster: str, group: str, kind: str, namespace: str, name: str) -> DataFrame:
     """One row, also for an object without history; by design over uncollapsed rows."""
-    order = latest(rs)
+    order = latest(rs, incarnations=True)
     last = [F.coalesce(F.max_by(c, order), F.lit("")).alias(a) for c, a in (("event_type", "last_event"), ("sha256", "sha256"), ("resource_version", "resource_version"))]
     return _object(rs, cluster, kind, namespace, name, group).agg(*last, F.max("ts").alias("last_seen"), F.count_distinct("uid").alias("incarnations"))
 
@@ -98,8 +98,9 @@ def deleted_last_state(rs: DataFrame, cluster: str, start: datetime, end: dateti
     of = [*_OBJECT, "uid"]
     inside = rs.where(F.col("cluster_id") == cluster)
     deletions = final(inside.where(between(rs, start, end))).where("event_type = 'Deleted'").groupBy(*of).agg(F.max("ts").alias("deleted_at"))
-    # States after the window can't precede a deletion in it.
-    states = final(inside.where(F.col("ts") <= literal_like(rs, "ts", end))).where("data <> ''")
+    # States after the window can't precede a deletion in it; only objects with deletions are collapsed.
+    before = inside.where(F.col("ts") <= literal_like(rs, "ts", end)).join(deletions.select(*_OBJECT).distinct(), _OBJECT, "left_semi")
+    states = final(before).where("data <> ''")
     states = states.select(*of, F.col("ts").alias("at"), "data", latest(states).alias("order"))
     found = deletions.join(states, of).where("at <= deleted_at")
     return found.groupBy(*of, "deleted_at").agg(F.max_by("data", "order").alias("last_full_state"), F.max("at").alias("state_captured_at")).orderBy(F.desc("deleted_at"), *of)

@@ -28,6 +28,7 @@ _UNION = "coalesce(array_to_string(list_sort(list_distinct(flatten(list(actors))
 _CHANGE = "CASE WHEN diff <> '' THEN diff WHEN data <> '' THEN '(full state' || {} || ')' ELSE '' END AS change"
 _SIZE = "', ' || strlen(data)::VARCHAR || ' bytes'"
 _LAST = "ORDER BY ts DESC, event_type = 'Deleted' DESC, ingest_seq DESC"
+_NEWEST = "ORDER BY ts DESC, ingest_seq DESC, event_type = 'Deleted'"
 _VARS = "namespace IN ('payments', 'infra', '')"
 _KINDS = "kind IN ('Deployment', 'ConfigMap')"
 _TYPES = "event_type IN ('Added', 'Modified', 'Checkpoint', 'Deleted')"
@@ -82,7 +83,7 @@ def _pairs() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]:
         "top_flappers": (_rs(lambda r: q.top_flappers(r, CLUSTER, START, END, THRESHOLD)), f"{flap} {order} LIMIT 50"),
         "flappers_brief": (_rs(lambda r: q.flappers_brief(r, CLUSTER, START, END, THRESHOLD)), f"SELECT * EXCLUDE (first_change, last_change) FROM ({flap}) {order} LIMIT 20"),
         "object_history_to": (_rs(lambda r: q.object_history_to(r, CLUSTER, GROUP, KIND, NAMESPACE, NAME, AT)), f"SELECT ts, event_type, uid, data, diff, sha256 FROM fin WHERE {_OBJ} AND api_group = '{GROUP}' AND ts <= TIMESTAMP '{AT}'"),
-        "object_digest": (_rs(lambda r: q.object_digest(r, CLUSTER, GROUP, KIND, NAMESPACE, NAME)), f"SELECT coalesce(first(event_type {_LAST}), '') AS last_event, coalesce(first(sha256 {_LAST}), '') AS sha256, coalesce(first(resource_version {_LAST}), '') AS resource_version, max(ts) AS last_seen, count(DISTINCT uid) AS incarnations FROM rs WHERE {_OBJ} AND api_group = '{GROUP}'"),
+        "object_digest": (_rs(lambda r: q.object_digest(r, CLUSTER, GROUP, KIND, NAMESPACE, NAME)), f"SELECT coalesce(first(event_type {_NEWEST}), '') AS last_event, coalesce(first(sha256 {_NEWEST}), '') AS sha256, coalesce(first(resource_version {_NEWEST}), '') AS resource_version, max(ts) AS last_seen, count(DISTINCT uid) AS incarnations FROM rs WHERE {_OBJ} AND api_group = '{GROUP}'"),
         "deleted_last_state": (_rs(lambda r: q.deleted_last_state(r, CLUSTER, START, END)), f"SELECT d.namespace, d.kind, d.name, d.uid, deleted_at, arg_max(s.data, s.ts) AS last_full_state, max(s.ts) AS state_captured_at FROM (SELECT namespace, kind, name, uid, max(ts) AS deleted_at FROM fin WHERE {_IN} AND event_type = 'Deleted' GROUP BY ALL) d JOIN (SELECT * FROM fin WHERE cluster_id = '{CLUSTER}' AND data <> '') s ON s.namespace = d.namespace AND s.kind = d.kind AND s.name = d.name AND s.uid = d.uid WHERE s.ts <= deleted_at GROUP BY ALL"),
         "events_by_uid": (_rs(lambda r: q.events_by_uid(r, CLUSTER, NAMESPACE, AT, UID, 15 * 60)), f"SELECT ts, {_TOLD}, {_OCCURS}, name AS event_name {about} AND ts BETWEEN {_AGO} AND {_AFTER} AND {_subject('uid')} = '{UID}'"),
         "events_by_name": (_rs(lambda r: q.events_by_name(r, *_OF, START, END)), f"SELECT ts, {_j('reason')} AS reason, {_j('message')} AS message {about} AND {_IN} AND {_subject('name')} = '{NAME}' AND {_subject('kind')} = '{KIND}'"),
@@ -117,7 +118,7 @@ def _pairs() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]:
         "busiest_namespaces": (_rs(lambda r: d.busiest_namespaces(r, _PANEL)), f"SELECT if(namespace = '', '(cluster-scoped)', namespace) AS ns, count(*) FILTER (event_type = 'Added') AS added, count(*) FILTER (event_type IN ('Modified', 'Checkpoint')) AS modified, count(*) FILTER (event_type = 'Deleted') AS deleted, count(*) FILTER (event_type = 'Snapshot') AS snapshot, count(*) AS total, count(DISTINCT (api_group, kind, name)) AS objects FROM fin WHERE {_IN} AND {_KINDS} GROUP BY ns ORDER BY total DESC, ns LIMIT 50"),
         "object_changes_over_time": (_rs(lambda r: d.object_changes_over_time(r, _PANEL, KIND, NAMESPACE, NAME)), f"SELECT {_DAY}, event_type, count(*) AS changes FROM fin WHERE {_OBJ} AND {_IN} GROUP BY ALL"),
         "object_field_managers": (_rs(lambda r: d.object_field_managers(r, _PANEL, KIND, NAMESPACE, NAME)), f"SELECT actor, count(*) AS rows_touched FROM (SELECT unnest(actors) AS actor FROM fin WHERE {_OBJ} AND {_IN}) GROUP BY actor"),
-        "object_latest_state": (_rs(lambda r: d.object_latest_state(r, _PANEL, KIND, NAMESPACE, NAME)), f"SELECT first(event_type {_LAST}) AS last_event, max(ts) AS last_seen, first(uid {_LAST}) AS current_uid, first(resource_version {_LAST}) AS resource_version, first(sha256 {_LAST}) AS sha256, count(*) AS rows_recorded, count(DISTINCT uid) AS incarnations FROM rs WHERE {_OBJ}"),
+        "object_latest_state": (_rs(lambda r: d.object_latest_state(r, _PANEL, KIND, NAMESPACE, NAME)), f"SELECT first(event_type {_NEWEST}) AS last_event, max(ts) AS last_seen, first(uid {_NEWEST}) AS current_uid, first(resource_version {_NEWEST}) AS resource_version, first(sha256 {_NEWEST}) AS sha256, count(*) AS rows_recorded, count(DISTINCT uid) AS incarnations FROM rs WHERE {_OBJ}"),
         "object_rows_and_diffs": (_rs(lambda r: d.object_rows_and_diffs(r, _PANEL, KIND, NAMESPACE, NAME)), f"SELECT ts, event_type, uid, resource_version, {_MANAGERS} AS field_managers, {_CHANGE.format(_SIZE)}, sha256 FROM fin WHERE {_OBJ} AND {_IN}"),
         "object_events": (_rs(lambda r: d.object_events(r, _PANEL, KIND, NAMESPACE, NAME)), f"SELECT ts, {_TOLD}, {_OCCURS} {about} AND {_IN} AND {_subject('name')} = '{NAME}' AND {_subject('kind')} = '{KIND}' ORDER BY ts DESC LIMIT 200"),
         "picker_clusters": (_rs(lambda r: d.picker(r, "cluster_id")), "SELECT DISTINCT cluster_id FROM rs"),

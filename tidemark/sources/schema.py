@@ -13,10 +13,6 @@ SCOPE = ["cluster_id", "api_group", "kind", "namespace"]
 EVENT_TYPES = ("Added", "Modified", "Deleted", "Snapshot", "Checkpoint")
 CHANGES = ("Modified", "Checkpoint")
 
-_STATES = T._parse_datatype_string(
-    "ts timestamp, cluster_id string, event_type string, api_group string, api_version string, kind string, namespace string, name string, uid string,"
-    "resource_version string, labels map<string,string>, actors array<string>, data string, diff string, sha256 string"
-) if False else None
 _STATES = "ts TIMESTAMP, cluster_id STRING, event_type STRING, api_group STRING, api_version STRING, kind STRING, namespace STRING, name STRING, uid STRING, resource_version STRING, labels MAP<STRING,STRING>, actors ARRAY<STRING>, data STRING, diff STRING, sha256 STRING"
 _SCOPES = "ts TIMESTAMP, cluster_id STRING, api_group STRING, api_version STRING, kind STRING, namespace STRING, action STRING, rule_ref STRING"
 _OBSERVED = "seq BIGINT, ts TIMESTAMP, ts_ns BIGINT, sink STRING, op STRING, cluster_id STRING, api_group STRING, api_version STRING, kind STRING, namespace STRING, name STRING, object_json STRING, scope_warm BOOLEAN"
@@ -64,11 +60,14 @@ def encoded(df: DataFrame) -> DataFrame:
     return df.withColumns({f.name: F.coalesce(F.col(f.name), empty[f.dataType.simpleString()]) for f in df.schema if f.dataType.simpleString() in empty})
 
 
-def latest(df: DataFrame) -> Column:
-    """Order of rows of one object: by time, a deletion last, then by arrival."""
+def order_of(df: DataFrame, incarnations: bool = False) -> list[Column]:
+    """Order of rows: by time; of one incarnation, then a deletion last, then by arrival; over ``incarnations``, then by arrival (rows without one last) and a close-out before its successor."""
     parts = [F.col("ts_ns" if "ts_ns" in df.columns else "ts")]
-    if "event_type" in df.columns:
-        parts.append(F.col("event_type") == "Deleted")
-    if "ingest_seq" in df.columns:
-        parts.append(F.col("ingest_seq"))
-    return F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)])
+    gone = [F.col("event_type") == "Deleted"] if "event_type" in df.columns else []
+    come = [F.coalesce("ingest_seq", F.lit((1 << 63) - 1))] if "ingest_seq" in df.columns else []
+    return parts + (come + [~c for c in gone] if incarnations else gone + come)
+
+
+def latest(df: DataFrame, incarnations: bool = False) -> Column:
+    """The order as one value."""
+    return F.struct(*[p.alias(f"k{i}") for i, p in enumerate(order_of(df, incarnations))])

@@ -24,14 +24,19 @@ def create_tables(spark: SparkSession, database: str = "default", location: str
         spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet PARTITIONED BY ({keys}){at}")
 
 
-def append_states(rows: DataFrame, path: str) -> None:
+def append_states(rows: DataFrame, path: str, batch: str | None = None) -> None:
     """Append rows, a directory for each cluster and month, sorted by identity and time so that files prune by their statistics.
 
     Rows with a column ``sink`` go to a table of their own for each sink, in ``path``/sink=...
+    With a name for the ``batch``, appending it again replaces what it had written.
     """
     rows = encoded(rows).withColumn("yyyymm", month_of(F.col("ts")))
     parts = ["sink", *PARTITIONS] if "sink" in rows.columns else PARTITIONS
-    rows.repartition(*parts, F.pmod(F.xxhash64(*IDENTITY), F.lit(16))).sortWithinPartitions(*parts, *IDENTITY, "ts").write.mode("append").partitionBy(*parts).parquet(path)
+    dealt = rows.repartition(*parts, F.pmod(F.xxhash64(*IDENTITY), F.lit(16))).sortWithinPartitions(*parts, *IDENTITY, "ts")
+    if batch is None:
+        dealt.write.mode("append").partitionBy(*parts).parquet(path)
+    else:
+        dealt.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts, "batch").parquet(path)
 
 
 def read_states(spark: SparkSession, path: str, cluster: str | None = None, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
@@ -43,20 +48,21 @@ def read_states(spark: SparkSession, path: str, cluster: str | None = None, star
         rows = rows.where((F.col("yyyymm") >= start.year * 100 + start.month) & (F.col("ts") >= F.lit(start)))
     if end is not None:
         rows = rows.where((F.col("yyyymm") <= end.year * 100 + end.month) & (F.col("ts") <= F.lit(end)))
-    return rows.drop("yyyymm")
+    return rows.drop("yyyymm", "batch")
 
 
 def expire_states(spark: SparkSession, path: str, before: datetime) -> list[str]:
-    """Delete the partitions of months that end before ``before``; returns them."""
+    """Delete the partitions of months that end before ``before``, of one table or of all sinks' tables in ``path``; returns them."""
     conf = spark._jsc.hadoopConfiguration()
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(conf)
     gone = []
-    for status in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/cluster_id=*/yyyymm=*")) or []:
-        name = status.getPath().getName()
-        if int(name.split("=")[1]) < before.year * 100 + before.month:
-            fs.delete(status.getPath(), True)
-            gone.append(f"{status.getPath().getParent().getName()}/{name}")
+    for within in ("cluster_id=*/yyyymm=*", "sink=*/cluster_id=*/yyyymm=*"):
+        for status in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{within}")) or []:
+            at = status.getPath()
+            if int(at.getName().split("=")[1]) < before.year * 100 + before.month:
+                fs.delete(at, True)
+                gone.append("/".join(str(at).split("/")[-1 - within.count("/") :]))
     return sorted(gone)
 
 

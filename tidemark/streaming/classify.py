@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,10 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tidemark.operators.cdc import KEY, OUT, Classifier, State, as_states, observed, quarantined
+from tidemark.operators.cdc import BEFORE, KEY, OUT, Classifier, State, as_states, observed, quarantined
+from tidemark.sources.schema import EVENT_TYPES
 from tidemark.sources.tables import append_states
 
-_STATE = "uid string, sha256 string, api_version string, json string, run long"
+_STATE = "uid string, sha256 string, api_version string, json string, run long, at long"
 _COLUMNS = [part.split()[0] for part in OUT.split(", ")]
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -27,8 +29,10 @@ class Processor(StatefulProcessor):
         self.state = handle.getValueState("state", _STATE)
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
+        if len(initialState) > 1:
+            raise ValueError(f"{len(initialState)} states to start from for {key}")
         row = initialState.iloc[0]
-        self.state.update((row.uid, row.sha256, row.api_version or "", None, 0))
+        self.state.update((row.uid, row.sha256, row.api_version or "", None, 0, BEFORE))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         had = self.state.exists()
@@ -39,7 +43,7 @@ class Processor(StatefulProcessor):
             state, more = self.classifier.step(state, o)
             out += more
         if state is not None:
-            self.state.update((state.uid, state.sha256, state.api_version, state.json, state.run))
+            self.state.update((state.uid, state.sha256, state.api_version, state.json, state.run, state.at))
         elif had:
             self.state.clear()
         if out:
@@ -56,22 +60,33 @@ def classify_stream(observations: DataFrame, classifier: Classifier | None = Non
     return observed(observations).groupBy(*KEY).transformWithStateInPandas(Processor(classifier or Classifier()), OUT, "Append", "None", initialState=start)
 
 
+def counted(rows: DataFrame, name: str = "tidemark") -> DataFrame:
+    """The rows, with metrics of what they are in ``observedMetrics`` of the query's progress: one for each event type, failures, bytes of states and patches."""
+    kinds = [F.count_if(F.col("event_type") == k).alias(k.lower()) for k in EVENT_TYPES]
+    sizes = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)).alias(f"{c}_bytes") for c in ("data", "diff")]
+    return rows.observe(name, F.count(F.lit(1)).alias("rows"), *kinds, F.count("error").alias("failed"), *sizes)
+
+
 def write_history(rows: DataFrame, path: str, quarantine: str, checkpoint: str, interval: str | None = None):
     """Start the query that appends classified rows, a table for each sink, and sets aside what can't be read.
 
-    A batch that runs again writes the same rows; reads collapse them.  Without an
-    ``interval`` it takes what there is and ends.
+    A batch that runs again replaces what it had written (its name is that of the
+    checkpoint folder and its number).  Without an ``interval`` it takes what there is
+    and ends.  The query's progress has the counts of :func:`counted`.
     """
+    of = hashlib.md5(checkpoint.encode()).hexdigest()[:8]
 
     def each(batch: DataFrame, number: int) -> None:
         batch.persist()
-        append_states(as_states(batch), path)
-        bad = quarantined(batch)
-        if not bad.isEmpty():
-            bad.withColumn("batch", F.lit(number)).write.mode("append").parquet(quarantine)
-        batch.unpersist()
-
-    writer = rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+        try:
+            append_states(as_states(batch), path, f"{of}-{number}")
+            bad = quarantined(batch)
+            if not bad.isEmpty():
+                bad.withColumn("batch", F.lit(f"{of}-{number}")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(quarantine)
+        finally:
+            batch.unpersist()
+
+    writer = counted(rows).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
