@@ -128,7 +128,7 @@ def test_lab_library(lab):
 def test_lab_dashboards(lab):
     p = d.Panel("lab", START, END, 60, ["jobs", "other"], ["CronJob", "Service", "DaemonSet"], manager=FLEET, threshold=2)
     assert rows(d.gitops_share_pct(lab, p)) == [(28.6,)]  # two of seven changes, of events too
-    assert rows(d.objects_with_drift(lab, p)) == [(2,)]
+    assert rows(d.objects_with_drift(lab, p)) == [(3,)]
     assert rows(d.objects_over_threshold(lab, p)) == [(1,)]
     assert rows(d.modified_rows_in_window(lab, p)) == [(6,)]
     assert rows(d.object_latest_state(lab, p, *JOB[1:]))[0][0] == "Checkpoint"
