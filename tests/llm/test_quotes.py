@@ -71,3 +71,43 @@ def test_quotes_of_some_lines_are_linked(spark):
         ],
     )
     assert [(got[1, t].parent_turn, got[1, t].link, got[1, t].text) for t in (2, 3, 4)] == [(0, "quote", "yes"), (0, "quote", "no"), (3, "order", "what")]
+
+
+def test_a_common_passage_makes_no_pairs(spark, monkeypatch):
+    """One passage that every message of a conversation holds and quotes: each links to the one before, by one lookup a turn."""
+    n = 20_000
+    rows = spark.range(n).selectExpr("CAST(NULL AS LONG) AS conv_id", "id AS turn", "'u' AS role", "concat('> thanks\nthanks\n', id) AS text")
+    out = quotes.link_quotes(rows)
+    assert out.where("turn > 0 and (parent_turn <> turn - 1 or link <> 'quote')").isEmpty() and out.count() == n
+    monkeypatch.setattr(quotes, "BUCKET", 5)
+    few = spark.createDataFrame([(1, t, "u", "> thanks\nno" if t % 3 else "thanks") for t in range(0, 40)], SCHEMA)
+    assert {r.turn: r.parent_turn for r in quotes.link_quotes(few).collect() if r.turn % 3} == {t: t // 3 * 3 for t in range(40) if t % 3}
+
+
+def test_a_text_of_many_lines(spark):
+    """100,000 lines, some of them quotes of an equally long text, cost in proportion to their number."""
+    rows = spark.createDataFrame([(1, 0, "u", "\n".join(f"line {k}" for k in range(100_000))), (1, 1, "a", "\n".join(f"> line {k}\nyes" if k % 50 == 0 else f"own {k}" for k in range(100_000)))], SCHEMA)
+    (r,) = quotes.link_quotes(rows).where("turn = 1").collect()
+    assert (r.parent_turn, r.link, r.n_quoted, r.max_level) == (0, "quote", 2000, 1)
+
+
+def test_sql_agrees_on_quotes(spark):
+    """Replies that quote whole messages, lines, runs of lines and nothing, in conversations with and without an id."""
+    import random
+
+    import duckdb
+
+    from tidemark.llm.oracles import QUOTES
+
+    rng, rows = random.Random(4), []
+    for turn in range(120):
+        conv, lines = rng.choice([None, 1, 2]), [rng.choice(["a b", "c", "", "d  e", "F"]) for _ in range(rng.randrange(5))]
+        source = rng.choice(rows)[3].split("\n") if rows else []
+        a = rng.randrange(len(source) + 1)
+        rows.append((conv, turn, rng.choice("ua"), "\n".join([">" * rng.randrange(1, 3) + " " + x for x in source[a : a + rng.randrange(4)]] + lines)))
+    con = duckdb.connect()
+    con.register("conversations", spark.createDataFrame(rows, SCHEMA).toArrow())
+    names = ["conv_id", "position", "turn", "role", "text", "parent_turn", "link", "n_quoted", "max_level"]
+    want = sorted(con.execute(f"SELECT {', '.join(names)} FROM ({QUOTES})").fetchall(), key=str)
+    got = sorted(map(tuple, quotes.link_quotes(spark.createDataFrame(rows, SCHEMA)).select(*names).collect()), key=str)
+    assert got == want and sum(r[6] == "quote" for r in got) > 40

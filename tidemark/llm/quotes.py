@@ -4,23 +4,27 @@ A line's quote level is the number of ``>`` marks before its text.  Consecutive
 lines of one level form a passage.  Quoted passages (level 1 and deeper) are
 normalised (marks off, white space collapsed, lower-cased), hashed, and joined to
 the messages of the same conversation whose own words hold the passage as their
-whole own text, a paragraph or a line.  A message answers the latest earlier
-message that its shallowest linked passage matches.  Without such a link, a
-passage of several lines links to the messages that hold each of its lines as a
-line of their own (blank ones aside), in the same order of preference; without
-that, the message before it.  A part of a line links nothing.  What remains of a message are its own lines, without quotes
-and without the line that announces one ("... wrote:").
+whole own text, a paragraph, a line, or as many lines in a row as the passage has
+(blank lines aside), so that a part of a paragraph or several paragraphs link too.
+A message answers the latest earlier message that its shallowest linked passage
+matches; without a link, the message before it.  A part of a line, or lines
+wrapped anew, link nothing.  What remains of a message are its own lines, without
+quotes and without the line that announces one ("... wrote:").
 
 A conversation's order is by turn, which puts every answer after what it answers.
-Positions and the message before come from two levels: turns are dealt into
-buckets of ``BUCKET`` turns, sorted each for itself, and then the far shorter list of
-buckets; so a conversation that holds a third of all rows isn't sorted in one task.
+Positions, the message before, and the last holder of a passage before a quote come
+from two levels: turns are dealt into buckets of ``BUCKET`` turns, sorted each for
+itself, and then the far shorter list of buckets; so a conversation that holds a
+third of all rows isn't sorted in one task.  A passage that many messages hold and
+many quote never makes pairs of them: each (passage, turn) looks up one holder.
 
 Defined cases: rows of null conv_id form one conversation; a null turn comes
-first; rows that repeat a turn are ordered by role and text and don't answer each
-other by quotes, only by order.  A null text stays null and has no quotes; a text
-of quotes only becomes empty.  A passage of white space only links nothing.
-An empty table gives no rows.
+first, holds nothing for others and links by order only; rows that repeat a turn are
+ordered by role and text and don't answer each other by quotes, only by order.  A
+null text stays null and has no quotes; a text of quotes only becomes empty.  A
+passage of white space only links nothing.  Time for a text grows with its lines
+(times the different lengths, in lines, of the passages that its conversation
+quotes).  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -46,17 +50,38 @@ def _normal(text: Column) -> Column:
 
 
 def _passages(lines: Column) -> Column:
-    """Array of struct(level, text): maximal runs of lines of one level; blank own lines also end a run."""
-    start = F.array().cast("array<struct<level:int,text:string>>")
+    """Array of struct(level, text, n): maximal runs of lines of one level, with the number of lines that aren't blank; blank own lines end a run and are in none."""
+    level = F.transform(lines, lambda x: F.when((x["level"] == 0) & (F.btrim(x["words"]) == ""), -1).otherwise(x["level"]))
+    # Bound as fields of structs, so that each is computed once and not for every line.
+    with_levels = F.struct(lines.alias("lines"), level.alias("level"))
+    places = F.sequence(F.lit(0), F.size(lines) - 1)
+    begins = F.transform(F.array(with_levels), lambda v: F.struct(v["lines"].alias("lines"), v["level"].alias("level"), F.filter(places, lambda i: (i == 0) | (F.get(v["level"], i) != F.get(v["level"], i - 1))).alias("begin")))
 
-    def step(acc, line):
-        last = F.element_at(acc, -1)
-        blank = (line["level"] == 0) & (F.btrim(line["words"]) == "")
-        new = F.struct(F.when(blank, -1).otherwise(line["level"]).cast("int").alias("level"), line["words"].alias("text"))
-        joined = F.struct(last["level"].alias("level"), F.concat_ws("\n", last["text"], line["words"]).alias("text"))
-        return F.when((F.size(acc) > 0) & (F.when(F.size(acc) > 0, last["level"]) == new["level"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(new)))
+    def runs(v):
+        def run(at, k):
+            until = F.coalesce(F.get(v["begin"], k + 1), F.size(v["level"]))
+            inside = F.slice(v["lines"], at + 1, until - at)
+            return F.struct(F.get(v["level"], at).alias("level"), F.array_join(F.transform(inside, lambda x: x["words"]), "\n").alias("text"), F.size(F.filter(inside, lambda x: F.btrim(x["words"]) != "")).alias("n"))
 
-    return F.aggregate(lines, start, step)
+        return F.filter(F.transform(v["begin"], run), lambda p: p["level"] >= 0)
+
+    return F.when(F.size(lines) > 0, F.flatten(F.transform(begins, runs))).otherwise(F.array().cast("array<struct<level:int,text:string,n:int>>"))
+
+
+def _hashes(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(5), text).alias("h2")]
+
+
+def _last_holders(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """``asked`` (conv_id, h1, h2, turn; distinct) with ``source``: the last turn before it among ``held`` (likewise), if any."""
+    of = ["conv_id", "h1", "h2"]
+    both = asked.withColumn("holds", F.lit(None).cast("long")).unionByName(held.withColumn("holds", F.col("turn").cast("long"))).withColumn("b", F.floor(F.col("turn") / BUCKET))
+    own = Window.partitionBy(*of, "b").orderBy(F.col("turn").cast("long")).rangeBetween(Window.unboundedPreceding, -1)
+    along = Window.partitionBy(*of).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    before = both.groupBy(*of, "b").agg(F.max("holds").alias("last")).withColumn("earlier", F.max("last").over(along)).select(*[F.col(c).alias(f"_{c}") for c in (*of, "b")], "earlier")
+    inside = both.withColumn("near", F.max("holds").over(own)).where("holds is null")
+    same = F.col("conv_id").eqNullSafe(F.col("_conv_id")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (F.col("b") == F.col("_b"))
+    return inside.join(before, same).select(*of, "turn", F.coalesce("near", "earlier").alias("source")).where("source is not null")
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
@@ -82,56 +107,35 @@ def _numbered(rows: DataFrame) -> DataFrame:
 
 def link_quotes(messages: DataFrame) -> DataFrame:
     """conv_id, position, turn, role, text (without quotes), parent_turn, link (quote, order or null), n_quoted, max_level."""
-    rows = messages.select("conv_id", "turn", "role", "text", F.xxhash64("conv_id", "turn", "role", "text").alias("k"))
-    parsed = rows.withColumn("lines", _lines(F.col("text"))).withColumn("passages", F.filter(_passages(F.coalesce("lines", F.array().cast("array<struct<level:int,words:string,raw:string>>"))), lambda p: p["level"] >= 0))
+    fields = ["conv_id", "turn", "role", "text"]
+    rows = messages.select(*fields, F.xxhash64(*fields).alias("k"), F.xxhash64(F.lit(3), *fields).alias("k2"))
+    none = F.array().cast("array<struct<level:int,words:string,raw:string>>")
+    parsed = rows.withColumn("lines", _lines(F.col("text"))).withColumn("passages", _passages(F.coalesce("lines", none)))
     quoted = (
-        parsed.where(F.exists("passages", lambda p: p["level"] > 0))
-        .select("conv_id", "turn", "k", F.explode(F.filter("passages", lambda p: p["level"] > 0)).alias("p"))
-        .select("conv_id", F.col("turn").alias("at"), "k", F.col("p.level").alias("level"), _normal(F.col("p.text")).alias("quote")).where("quote <> ''")
-        .select("conv_id", "at", "k", "level", F.xxhash64("quote").alias("h1"), F.xxhash64(F.lit(5), "quote").alias("h2")).distinct()
+        parsed.where(F.exists("passages", lambda p: p["level"] > 0) & F.col("turn").isNotNull())
+        .select("conv_id", "turn", "k", "k2", F.explode(F.filter("passages", lambda p: p["level"] > 0)).alias("p"))
+        .select("conv_id", "turn", "k", "k2", F.col("p.level").alias("level"), F.col("p.n").alias("n"), _normal(F.col("p.text")).alias("quote")).where("quote <> ''")
+        .select("conv_id", "turn", "k", "k2", "level", "n", *_hashes(F.col("quote"))).distinct()
     )
+    # Only conversations that quote at all need their messages' passages; of several lines, those of quoted lengths.
+    wanted = quoted.groupBy(F.col("conv_id").alias("_q")).agg(F.collect_set(F.when(F.col("n") > 1, F.col("n"))).alias("lengths"))
     own = F.filter("lines", lambda x: x["level"] == 0)
-    held = F.array_distinct(
-        F.transform(
-            F.concat(
-                F.array(F.array_join(F.transform(own, lambda x: x["words"]), "\n")),
-                F.transform(F.filter("passages", lambda p: p["level"] == 0), lambda p: p["text"]),
-                F.transform(own, lambda x: x["words"]),
-            ),
-            _normal,
-        )
-    )
-    # Only conversations that quote at all need their messages' passages.
-    quoting = quoted.select("conv_id").distinct().withColumnRenamed("conv_id", "_q")
-    held_by = (
-        parsed.join(quoting, F.col("conv_id").eqNullSafe(F.col("_q")), "left_semi")
-        .select(F.col("conv_id").alias("c"), F.col("turn").alias("source"), F.explode(F.transform(F.filter(held, lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(5), x).alias("h2")))).alias("h"))
+    words = F.filter(F.transform(own, lambda x: _normal(x["words"])), lambda x: x != "")
+    in_a_row = F.transform(F.filter("lengths", lambda n: n <= F.size("words")), lambda n: F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda i: F.array_join(F.slice("words", i, n), " ")))
+    whole = F.transform(F.concat(F.array(F.array_join(F.transform(own, lambda x: x["words"]), "\n")), F.transform(F.filter("passages", lambda p: p["level"] == 0), lambda p: p["text"])), _normal)
+    held = (
+        parsed.where(F.col("turn").isNotNull() & F.col("lines").isNotNull())
+        .join(wanted, F.col("conv_id").eqNullSafe(F.col("_q")))
+        .select("conv_id", "turn", "lengths", whole.alias("whole"), words.alias("words"))
+        .select("conv_id", "turn", F.explode(F.array_distinct(F.concat("whole", "words", F.flatten(in_a_row)))).alias("x")).where("x <> ''")
+        .select("conv_id", "turn", *_hashes(F.col("x"))).distinct()
     )
+    found = _last_holders(quoted.select("conv_id", "h1", "h2", "turn").distinct(), held).select(*[F.col(c).alias(f"_{c}") for c in ("conv_id", "h1", "h2", "turn")], "source")
     parents = (
-        quoted.join(held_by, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("h1") == F.col("h.h1")) & (F.col("h2") == F.col("h.h2")) & (F.col("source") < F.col("at")))
-        .groupBy("k").agg(F.max(F.struct((-F.col("level")).alias("l"), F.col("source"))).alias("best"))
-        .select(F.col("k").alias("_k"), F.col("best.source").alias("quoted_turn"))
-    )
-    # Passages of several lines that no message holds whole: all their lines in one message.
-    runs = (
-        parsed.where(F.exists("passages", lambda p: p["level"] > 0)).join(parents, F.col("k") == F.col("_k"), "left_anti")
-        .select("conv_id", "turn", "k", F.posexplode(F.filter("passages", lambda p: p["level"] > 0)).alias("run", "p"))
-        .select("conv_id", F.col("turn").alias("at"), "k", "run", F.col("p.level").alias("level"), F.array_distinct(F.filter(F.transform(F.split("p.text", "\n"), _normal), lambda x: x != "")).alias("parts"))
-        .where(F.size("parts") > 1).withColumn("n", F.size("parts")).distinct()
-        .select("conv_id", "at", "k", "run", "level", "n", F.explode(F.transform("parts", lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(5), x).alias("h2")))).alias("part"))
-    )
-    line_of = (
-        parsed.join(runs.select(F.col("conv_id").alias("_q")).distinct(), F.col("conv_id").eqNullSafe(F.col("_q")), "left_semi")
-        .select(F.col("conv_id").alias("c"), F.col("turn").alias("source"), F.col("k").alias("held_by"), F.explode(F.array_distinct(F.transform(own, lambda x: _normal(x["words"])))).alias("x"))
-        .select("c", "source", "held_by", F.xxhash64("x").alias("h1"), F.xxhash64(F.lit(5), "x").alias("h2")).distinct()
-    )
-    by_lines = (
-        runs.join(line_of, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part.h1") == F.col("h1")) & (F.col("part.h2") == F.col("h2")) & (F.col("source") < F.col("at")))
-        .groupBy("k", "run", "level", "n", "source", "held_by").agg(F.count("*").alias("found")).where("found = n")
-        .groupBy("k").agg(F.max(F.struct((-F.col("level")).alias("l"), F.col("source"))).alias("best"))
-        .select(F.col("k").alias("_k"), F.col("best.source").alias("quoted_turn"))
+        quoted.join(found, F.col("conv_id").eqNullSafe(F.col("_conv_id")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (F.col("turn") == F.col("_turn")))
+        .groupBy(F.col("k").alias("_k"), F.col("k2").alias("_k2")).agg(F.max(F.struct((-F.col("level")).alias("l"), F.col("source"))).alias("best"))
+        .select("_k", "_k2", F.col("best.source").cast(messages.schema["turn"].dataType).alias("quoted_turn"))
     )
-    parents = parents.unionAll(by_lines)
     kept = F.filter(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["raw"]), lambda x: ~((F.col("max_level") > 0) & x.rlike(_ANNOUNCES)))
     clean = (
         parsed.withColumn("max_level", F.coalesce(F.array_max(F.transform("passages", lambda p: p["level"])), F.lit(0)))
@@ -140,7 +144,7 @@ def link_quotes(messages: DataFrame) -> DataFrame:
         .drop("lines", "passages")
     )
     return (
-        _numbered(clean).join(parents, F.col("k") == F.col("_k"), "left")
+        _numbered(clean).join(parents, (F.col("k") == F.col("_k")) & (F.col("k2") == F.col("_k2")), "left")
         .withColumn("parent_turn", F.coalesce("quoted_turn", "previous_turn"))
         .withColumn("link", F.when(F.col("quoted_turn").isNotNull(), "quote").when(F.col("position") > 1, "order"))
         .select("conv_id", "position", "turn", "role", "text", "parent_turn", "link", "n_quoted", "max_level")
