@@ -70,3 +70,27 @@ def test_odd_rows(odd, empty):
     assert {r.n_tokens for r in out if r.text is None} <= {0}
     assert mixing.mix_sources(empty).count() == 0
     assert mixing.mix_sources(odd.where("text is null")).count() == 0
+
+
+@pytest.mark.parametrize("n", [3, 400])
+def test_sql_agrees_with_shards_blocks_and_odd_rows(spark, make_docs, odd, n, monkeypatch):
+    """Null and repeated ids, null sources and texts, several shards and epochs."""
+    import duckdb
+
+    from tidemark.llm import oracles
+
+    rng = np.random.default_rng(n)
+    rows = [(None if k % 11 == 0 else k % 300, None if k % 13 == 0 else "w " * int(rng.integers(0, 50)), rng.choice(["big"] * 8 + ["small"]) if k % 7 else None) for k in range(n)]
+    docs = make_docs([(i, t, None if s is None else str(s)) for i, t, s in rows]).unionByName(odd).select("doc_id", "source", "text")
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    sql = oracles.mixing()
+    if n > 100:
+        monkeypatch.setattr(mixing, "SHARD_TOKENS", 1000)
+        monkeypatch.setattr(mixing, "SHARD_ROWS", 64)
+        monkeypatch.setattr(mixing, "BLOCK_TOKENS", 5000)
+        sql = sql.replace(str(1 << 18), "1000").replace(str(1 << 16), "64").replace(str(1 << 20), "5000")
+    names = ["doc_id", "source", "n_tokens", "epoch", "block", "order_key"]
+    want = sorted(con.execute(f"SELECT {', '.join(names)} FROM ({sql})").fetchall(), key=str)
+    got = sorted(map(tuple, mixing.mix_sources(docs).select(*names).collect()), key=str)
+    assert got == want and len(got) > n / 2

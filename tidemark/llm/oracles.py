@@ -16,6 +16,32 @@ SELECT * FROM r WHERE rank <= 5
 """
 
 
+def mixing(seed: int = 7) -> str:
+    """Exponents by plain bisection, then permutations of shards by the same hashes."""
+    hashed = "('0x' || md5({})[1:15])::BIGINT"
+
+    def bisect(name: str, holds: str) -> str:
+        z, s = "sum(exp((low + high) / 2 * ln(share)))", "sum(exp((low + high) / 2 * ln(share)) * ln(share))"
+        test = holds.format(a="(low + high) / 2", z=z, s=s, most="max(exp(((low + high) / 2 - 1) * ln(share)))")
+        return f"{name} AS (SELECT 0 AS step, 0::DOUBLE AS low, 1::DOUBLE AS high UNION ALL SELECT step + 1, CASE WHEN {test} THEN (low + high) / 2 ELSE low END, CASE WHEN {test} THEN high ELSE (low + high) / 2 END FROM {name}, h WHERE step < 45 GROUP BY step, low, high)"
+
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n FROM documents),
+t AS (SELECT source, sum(n)::BIGINT AS tokens, count(*) AS docs FROM d GROUP BY source HAVING sum(n) > 0),
+h AS (SELECT *, tokens / (SELECT sum(tokens) FROM t) AS share, greatest(ln((SELECT count(*) FROM t)), 1e-300) AS full FROM t),
+{bisect("e", "(ln({z}) - {a} * {s} / {z}) / any_value(h.full) >= 0.98")},
+{bisect("r", "{most} / {z} > 4")},
+a AS (SELECT least(1, greatest(CASE WHEN (SELECT -sum(share * ln(share)) / any_value(h.full) >= 0.98 FROM h) THEN 1 ELSE (SELECT max(low) FROM e) END,
+  CASE WHEN (SELECT max(1 / share) / count(*) <= 4 FROM h) THEN 0 ELSE (SELECT max(low) FROM r) END)) AS a),
+w AS (SELECT source AS of, round(pow(share, a) / (SELECT sum(pow(share, a)) FROM h, a) * (SELECT sum(tokens)::DOUBLE FROM t) / tokens, 6) AS passes, greatest(ceil(tokens / {1 << 18}), ceil(docs / {1 << 16}))::BIGINT AS shards, greatest(1, round((SELECT sum(tokens) FROM t) / {1 << 20}))::BIGINT AS blocks FROM h, a),
+k AS (SELECT *, coalesce(doc_id::VARCHAR, 'text ' || md5(coalesce(text, ''))) AS name FROM d JOIN w ON source IS NOT DISTINCT FROM of),
+x AS (SELECT *, {hashed.format(f"'{seed}:' || name")} % shards AS shard, unnest(range(greatest(ceil(passes)::INT, 1)))::INT AS epoch FROM k),
+o AS (SELECT *, {hashed.format(f"'{seed + 1}:' || epoch || ':' || name")} AS order_key FROM x),
+p AS (SELECT *, epoch + (sum(n) OVER (PARTITION BY of, shard, epoch ORDER BY order_key, doc_id NULLS FIRST, text NULLS FIRST ROWS UNBOUNDED PRECEDING) - n / 2) / greatest(sum(n) OVER (PARTITION BY of, shard, epoch), 1) AS place FROM o)
+SELECT doc_id, source, n AS n_tokens, epoch, least(floor(place / passes * blocks)::BIGINT, blocks - 1) AS block, order_key FROM p WHERE place < passes
+"""
+
+
 def ngram_join(n: int, num: int, den: int) -> str:
     """All pairs that share a shingle, counted, and the reach of every document by links."""
     return rf"""
@@ -61,10 +87,12 @@ l AS (SELECT id, unnest(string_split_regex(text, '\r?\n')) AS line, generate_sub
 x AS (SELECT id, i, line, length(regexp_replace(regexp_extract(line, '^[ \t]*((?:>[ \t]?)*)', 1), '[^>]', '', 'g')) AS lv, regexp_replace(line, '^[ \t]*((?:>[ \t]?)*)', '') AS words FROM l),
 y AS (SELECT *, CASE WHEN lv = 0 AND trim(words) = '' THEN -1 ELSE lv END AS pl FROM x),
 z AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY i) AS g FROM (SELECT *, CASE WHEN lag(pl) OVER (PARTITION BY id ORDER BY i) IS DISTINCT FROM pl THEN 1 ELSE 0 END AS new FROM y)),
-p AS (SELECT id, g, any_value(pl) AS pl, string_agg(words, chr(10) ORDER BY i) AS txt FROM z GROUP BY id, g),
-q AS (SELECT DISTINCT id, pl, {_NORM.format("txt")} AS h FROM p WHERE pl > 0),
-h AS (SELECT id, {_NORM.format("string_agg(words, chr(10) ORDER BY i)")} AS h FROM x WHERE lv = 0 GROUP BY id UNION SELECT id, {_NORM.format("txt")} FROM p WHERE pl = 0 UNION SELECT id, {_NORM.format("words")} FROM x WHERE lv = 0),
-a AS (SELECT q.id, first(s.turn ORDER BY q.pl, s.turn DESC) AS quoted FROM q JOIN m ON m.id = q.id JOIN h ON h.h = q.h JOIN m s ON s.id = h.id AND s.conv_id = m.conv_id AND s.turn < m.turn WHERE q.h <> '' GROUP BY q.id),
+p AS (SELECT id, g, any_value(pl) AS pl, string_agg(words, chr(10) ORDER BY i) AS txt, count(*) FILTER (trim(words) <> '') AS n FROM z GROUP BY id, g),
+q AS (SELECT DISTINCT id, pl, {_NORM.format("txt")} AS h, n FROM p WHERE pl > 0),
+r AS (SELECT id, words, row_number() OVER (PARTITION BY id ORDER BY i) AS i FROM (SELECT id, i, {_NORM.format("words")} AS words FROM x WHERE lv = 0) WHERE words <> ''),
+c AS (SELECT DISTINCT conv_id, n FROM q JOIN m USING (id) WHERE n > 1),
+h AS (SELECT a.id, string_agg(b.words, ' ' ORDER BY b.i) AS h FROM r a JOIN m ON m.id = a.id JOIN c ON c.conv_id IS NOT DISTINCT FROM m.conv_id JOIN r b ON b.id = a.id AND b.i BETWEEN a.i AND a.i + c.n - 1 GROUP BY a.id, a.i, c.n HAVING count(*) = c.n UNION SELECT id, {_NORM.format("string_agg(words, chr(10) ORDER BY i)")} AS h FROM x WHERE lv = 0 GROUP BY id UNION SELECT id, {_NORM.format("txt")} FROM p WHERE pl = 0 UNION SELECT id, {_NORM.format("words")} FROM x WHERE lv = 0),
+a AS (SELECT q.id, first(s.turn ORDER BY q.pl, s.turn DESC) AS quoted FROM q JOIN m ON m.id = q.id JOIN h ON h.h = q.h JOIN m s ON s.id = h.id AND s.conv_id IS NOT DISTINCT FROM m.conv_id AND s.turn < m.turn WHERE q.h <> '' GROUP BY q.id),
 n AS (SELECT id, count(*) FILTER (pl > 0) AS n_quoted, greatest(max(pl), 0) AS max_level FROM p GROUP BY id),
 k AS (SELECT id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (lv = 0 AND NOT regexp_matches(line, '(?i)^[^\n]*\b(wrote|writes|schrieb|escribió|a écrit)\s*:\s*$')), '') AS kept FROM x GROUP BY id),
 o AS (SELECT id, row_number() OVER w AS position, lag(turn) OVER w AS previous FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST))

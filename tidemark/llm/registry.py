@@ -64,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     """The other queries have models or hashes that SQL lacks; tests compare them with brute force."""
     return {
+        "op1_mixing": oracles.mixing(),
         "op2_ngram_join": oracles.ngram_join(4, 85, 100),
         "op4_line_dedup": linededup.ORACLE,
         "op5_quote_links": oracles.QUOTES,
