@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tidemark.llm import hmm
@@ -26,21 +27,22 @@ def paths(m, seq):
         yield path, float(p)
 
 
-def test_forward_and_counts_against_enumeration():
+@pytest.mark.parametrize("run", [1, 2, 3, 9])
+def test_forward_and_counts_against_enumeration(run):
+    """Whatever the length of the runs that a text is cut into."""
     rng = np.random.default_rng(2)
     m = model(rng, 2, 4)
-    seqs = [rng.integers(0, 4, k) for k in (3, 1, 5, 4)]
+    seqs = [rng.integers(0, 4, k) for k in (3, 1, 7, 4)]
     flat, lengths = np.concatenate(seqs), np.array([len(s) for s in seqs])
     starts = np.cumsum(lengths) - lengths
     got = hmm.log_likelihoods(m, flat, starts, lengths)
-    start, move, emit = hmm.expected_counts(m, flat, starts, lengths, np.array([True, True, False, True]))
+    start, move, emit = hmm.expected_counts(m, flat, lengths, run)
     want_start, want_move, want_emit = np.zeros(2), np.zeros((2, 2)), np.zeros((4, 2))
     for k, s in enumerate(seqs):
         total = sum(p for _, p in paths(m, s))
         assert got[k] == pytest.approx(math.log10(total), abs=1e-5)
         for path, p in paths(m, s):
-            if k != 2:
-                want_start[path[0]] += p / total
+            want_start[path[0]] += p / total
             for a, b in zip(path, path[1:], strict=False):
                 want_move[a, b] += p / total
             for x, state in zip(s, path, strict=True):
@@ -61,7 +63,7 @@ def test_training_raises_the_likelihood():
         now = hmm.log_likelihoods(m, flat, starts, lengths).sum()
         assert now > last - 0.5
         last = now
-        m = hmm.Model.of(hmm.expected_counts(m, flat, starts, lengths, np.ones(100, bool)), np.full(6, 1 / 6))
+        m = hmm.Model.of(hmm.expected_counts(m, flat, lengths, 7), np.full(6, 1 / 6))
     hmm.PRIOR = hmm_prior
 
 
@@ -77,6 +79,78 @@ def test_long_texts_equal_short_steps():
     assert hmm.log_likelihoods(m, seq, np.array([0]), np.array([len(seq)]))[0] == pytest.approx(total, rel=1e-6)
 
 
+def test_training_on_a_long_text_equals_training_uncut():
+    rng = np.random.default_rng(5)
+    m = model(rng, 5, 30)
+    lengths = np.array([4001, 3, 800, 1, 1600])
+    flat = rng.integers(0, 30, lengths.sum())
+    whole = hmm.expected_counts(m, flat, lengths, 1 << 20)
+    for run in (1, 100, 800):
+        for a, b in zip(hmm.expected_counts(m, flat, lengths, run), whole, strict=True):
+            assert a == pytest.approx(b, rel=2e-3, abs=2e-3)
+    assert whole[2].sum() == pytest.approx(lengths.sum(), rel=1e-4) and whole[1].sum() == pytest.approx((lengths - 1).sum(), rel=1e-4)
+
+
+def test_the_start_divides_texts_by_what_they_hold(monkeypatch):
+    """Texts of two vocabularies begin in different states; sums over parts are those of the whole."""
+    monkeypatch.setattr(hmm, "NEAR", 20)
+    monkeypatch.setattr(hmm, "TEXTS", 7)
+    monkeypatch.setattr(hmm, "SYMBOLS", 24)
+    rng = np.random.default_rng(6)
+    lengths = rng.integers(1, 50, 200)
+    texts = [rng.integers(0, 12, n) * 2 + k % 2 for k, n in enumerate(lengths)]
+    flat, half = np.concatenate(texts), lengths[:100].sum()
+    whole = np.concatenate([x.ravel() for x in hmm.moments(flat, lengths)])
+    parts = [np.concatenate([x.ravel() for x in hmm.moments(*x)]) for x in ((flat[:half], lengths[:100]), (flat[half:], lengths[100:]))]
+    assert sum(parts) == pytest.approx(whole)
+    mean, axes = hmm.directions(whole, 2)
+    (counts,) = hmm.divided(mean, axes, 2, flat, lengths)
+    counts = counts.reshape(24, 2)
+    assert counts.sum(1) == pytest.approx(np.bincount(flat, minlength=24))
+    own = counts[:20].argmax(1)
+    assert len(set(own[::2])) == len(set(own[1::2])) == 1 and own[0] != own[1]
+
+
+def plain_scores(texts, train, m):
+    """The model's log10 probability of each text by the definition, one word after another, in plain Python."""
+    counts = Counter(w for t in train for w in t)
+    word = {w: int(np.array([xxhash.xxh3_64_intdigest(w)], np.uint64).view(np.int64)[0]) for w in {x for t in texts for x in t} | counts.keys()}
+    ranked = sorted(counts, key=lambda w: (-counts[w], word[w]))
+    cut = min(c for c in range(1, 256) if sum(n >= c for n in counts.values()) <= hmm.KNOWN)  # words of one count are known or not together
+    top = {w: k for k, w in enumerate([w for w in ranked if counts[w] >= cut][: hmm.TOP])}
+    kind = lambda w: xxhash.xxh3_64_intdigest(w[::-1][:3]) % hmm.CLASSES
+    total, distinct = Counter(), Counter()
+    for w in ranked[len(top) :]:
+        total[kind(w)] += counts[w]
+        distinct[kind(w)] += 1
+    out = []
+    for t in texts:
+        alpha, score = None, 0.0
+        for w in [*t, None]:
+            s = hmm.SYMBOLS - 1 if w is None else top.get(w, hmm.TOP + kind(w))
+            alpha = (m.start.astype(float) if alpha is None else alpha @ m.move.astype(float)) * m.emit[s].astype(float)
+            score += math.log10(alpha.sum())
+            alpha = alpha / alpha.sum()
+            if w is not None and w not in top:
+                score += math.log10((counts[w] + 1) / (total[kind(w)] + distinct[kind(w)] + 1))
+        out.append(score)
+    return out
+
+
+def test_each_score_against_plain_python(make_docs, monkeypatch):
+    """Frequent words, words of classes, joined rare words and unknown ones."""
+    monkeypatch.setattr(hmm, "KNOWN", 300)
+    rng = np.random.default_rng(7)
+    texts = [[f"w{int(min(20_000, rng.pareto(0.5) * 9))}" if rng.random() < 0.3 else f"v{rng.integers(20_000)}" for _ in range(int(rng.integers(0, 250)))] for k in range(90)]
+    docs = make_docs([(k, " ".join(t), "s") for k, t in enumerate(texts)])
+    seen = {}
+    trained = hmm.train
+    monkeypatch.setattr(hmm, "train", lambda *a, **b: seen.setdefault("m", trained(*a, **b)))
+    rows = {r.doc_id: r.score for r in hmm.score_texts(docs, F.col("doc_id") % 3 == 1, passes=2).collect()}
+    want = plain_scores(texts, [t for k, t in enumerate(texts) if k % 3 != 1], seen["m"])
+    assert [rows[k] for k in range(90)] == pytest.approx(want, rel=1e-5, abs=1e-4)
+
+
 def held(column="doc_id"):
     return F.crc32(F.col(column).cast("string")) % 7 == 2
 

@@ -9,12 +9,18 @@ that of a complete sequence, summed over all state paths by the scaled forward
 recursion.
 
 Word counts cover every training text: hashes of words with counts are summed
-over partitions.  Baum-Welch: starting from a model fitted to a bounded sample
-(``START_DOCS`` texts of at most ``START_BYTES`` bytes; it only gives the start),
-each pass runs forward and backward over all training texts and adds up the
-expected counts of partitions, in ``PARTS`` pieces of fixed size, of which only the
-sums come to the driver.  In training, texts are cut into runs of ``RUN`` words; in
-scoring they are whole.
+over partitions.  Training texts are then written as symbols once.  Baum-Welch
+starts from all of them too: the principal directions of their shares of the
+``NEAR`` most frequent symbols (from sums over the corpus) divide the texts by the
+sides on which they lie, a state for each combination, and a state emits what its
+texts hold.  Each of ``PASSES`` passes then runs forward and backward over all
+training texts, whole, and adds up the expected counts of partitions.  These tables
+are of fixed size; they are summed in ``PARTS`` pieces, and only the sums come to the
+driver.
+
+Forward and backward take runs of ``RUN`` symbols side by side, so that one long text
+doesn't hold its task up.  What enters and leaves a run of a longer text is exact:
+the products of the steps of each run, multiplied along the text.
 
 Counts of the most frequent words, at most ``KNOWN``, travel to the workers (a table
 of counts of counts tells from which count on); the counts of all other words meet
@@ -38,15 +44,20 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Words, hash_strings, slices, stored
+from tidemark.llm.common import Words, dropped, hash_strings, slices, stored
 
 TOP, CLASSES, KNOWN = 6144, 2047, 65536
 SYMBOLS = TOP + CLASSES + 1  # the last is the end
 STATES = 8
-PASSES = 2
-RUN = 256
+PASSES = 3
+RUN = 1024
 PARTS = 8
-START_DOCS, START_BYTES, START_PASSES = 600, 8192, 25
+#: Symbols whose shares of a text decide where training puts it at first, and texts handled at once for that.
+NEAR, TEXTS = 512, 4096
+#: How likely a state stays at first.
+STAY = 0.95
+#: Bytes of symbols handled at once.
+SYMBOL_BYTES = 1 << 20
 PRIOR = 50.0
 
 
@@ -75,14 +86,14 @@ def _by_time(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nd
     return order, starts[order][rank] + time, begins
 
 
-def _forward(model: Model, symbols: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Scaled forward probabilities and scales, both in order of time."""
+def _forward(model: Model, symbols: np.ndarray, begins: np.ndarray, enter: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled forward probabilities and scales, both in order of time; ``enter``: what each sequence begins with, if not the model's start."""
     alpha = model.emit[symbols]
     scale = np.empty(len(symbols), np.float32)
     before = None
     for a, b in zip(begins, begins[1:], strict=False):
         now = alpha[a:b]
-        now *= model.start if before is None else before[: b - a] @ model.move
+        now *= (model.start if enter is None else enter) if before is None else before[: b - a] @ model.move
         scale[a:b] = s = now.sum(1)
         now /= s[:, None]
         before = now
@@ -99,35 +110,124 @@ def log_likelihoods(model: Model, symbols: np.ndarray, starts: np.ndarray, lengt
     return out
 
 
-def expected_counts(model: Model, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    """Baum-Welch counts of starts (of sequences that are ``first`` of their text), moves and emissions."""
+def _runs(lengths: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and lengths of runs of at most ``run`` symbols, and the place of each in its text."""
+    n = -(-lengths // run)
+    text = np.repeat(np.arange(len(lengths)), n)
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    starts = np.concatenate([[0], np.cumsum(lengths)])[:-1][text] + place * run
+    return starts, np.minimum(run, lengths[text] - place * run), place
+
+
+def _products(model: Model, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """For each run the product of its steps (from the state before it to its last), each scaled to sum 1."""
+    states = len(model.start)
+    order, at, begins = _by_time(starts, lengths)
+    emit = model.emit[symbols[at]]
+    out = np.tile(np.eye(states, dtype=np.float32), (len(lengths), 1, 1))
+    for a, b in zip(begins, begins[1:], strict=False):
+        now = (out[: b - a] @ model.move) * emit[a:b, None, :]
+        out[: b - a] = now / now.sum((1, 2), keepdims=True)
+    back = np.empty_like(out)
+    back[order] = out
+    return back.astype(np.float64)
+
+
+def _borders(model: Model, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By run: the states before it (for runs that go on), what it begins with, and the backward probabilities at its end."""
+    states, n = len(model.start), len(lengths)
+    before, enter, leave = np.zeros((n, states)), np.tile(model.start.astype(np.float64), (n, 1)), np.ones((n, states))
+    on = np.flatnonzero(place > 0)
+    if not len(on):
+        return before, enter, leave
+    product = np.empty((n, states, states))
+    product[on] = _products(model, symbols, starts[on], lengths[on])
+    heads = on[place[on] == 1] - 1
+    order, at, begins = _by_time(starts[heads], lengths[heads])
+    alpha, _ = _forward(model, symbols[at], begins)
+    ends = np.zeros((n, states))
+    ends[heads[order]] = alpha[begins[lengths[heads][order] - 1] + np.arange(len(heads))]
+    for k in range(1, place.max() + 1):  # all texts that have a k-th run
+        runs = np.flatnonzero(place == k)
+        before[runs] = ends[runs - 1]
+        enter[runs] = ends[runs - 1] @ model.move
+        now = np.einsum("rs,rst->rt", ends[runs - 1], product[runs])
+        ends[runs] = now / now.sum(1, keepdims=True)
+    for k in range(place.max(), 0, -1):
+        runs = np.flatnonzero(place == k)
+        now = np.einsum("rst,rt->rs", product[runs], leave[runs])
+        leave[runs - 1] = now / (ends[runs - 1] * now).sum(1, keepdims=True)
+    return before, enter, leave
+
+
+def expected_counts(model: Model, symbols: np.ndarray, lengths: np.ndarray, run: int = RUN) -> list[np.ndarray]:
+    """Baum-Welch counts of starts, moves and emissions over whole texts, which stand one after another in ``symbols``."""
     states = len(model.start)
     start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((len(model.emit), states))
     if not len(lengths):
         return [start, move, emit]
-    order, at, begins = _by_time(starts, lengths)
+    starts, sizes, place = _runs(lengths, run)
+    order, at, begins = _by_time(starts, sizes)
+    before, enter, leave = (x[order].astype(np.float32) for x in _borders(model, symbols, starts, sizes, place))
     seen = symbols[at]
-    alpha, scale = _forward(model, seen, begins)
-    back = np.ones((begins[1] - begins[0], states), np.float32)
-    gamma = alpha
+    gamma, scale = _forward(model, seen, begins, enter)
     after = None
     for t in range(len(begins) - 2, -1, -1):
         a, b = begins[t], begins[t + 1]
+        beta = leave[: b - a].copy()
         if after is not None:
             moved = model.emit[seen[b : b + len(after)]] * after / scale[b : b + len(after), None]
-            move += model.move * (alpha[a : a + len(after)].T @ moved)
-            beta = back[: b - a].copy()
+            move += model.move * (gamma[a : a + len(after)].T @ moved)
             beta[: len(after)] = moved @ model.move.T
-        else:
-            beta = back[: b - a].copy()
         after = beta
         gamma[a:b] *= beta  # alpha of this time is no longer needed
-    start += gamma[: begins[1]][first[order]].sum(0)
+    first = place[order] == 0
+    moved = model.emit[seen[: begins[1]]] * after / scale[: begins[1], None]
+    move += model.move * (before[~first].T @ moved[~first])
+    start += gamma[: begins[1]][first].sum(0)
     for k in range(states):
         emit[:, k] = np.bincount(seen, gamma[:, k], len(emit))
     return [start, move, emit]
 
 
+def _shares(symbols: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """Square roots of the shares of the first NEAR symbols, of some texts at a time, and where these stand."""
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    for a in range(0, len(lengths), TEXTS):
+        b = min(a + TEXTS, len(lengths))
+        part = symbols[ends[a] : ends[b]]
+        text = np.repeat(np.arange(b - a), lengths[a:b])[part < NEAR]
+        counts = np.bincount(text * NEAR + part[part < NEAR], minlength=(b - a) * NEAR).reshape(b - a, NEAR)
+        yield slice(ends[a], ends[b]), np.sqrt(counts / np.maximum(counts.sum(1), 1)[:, None])
+
+
+def moments(symbols: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+    """Number of texts, sum and sum of squares of their shares."""
+    sums = [np.zeros(1), np.zeros(NEAR), np.zeros((NEAR, NEAR))]
+    for _, x in _shares(symbols, lengths):
+        sums = [a + b for a, b in zip(sums, (np.full(1, len(x)), x.sum(0), x.T @ x), strict=True)]
+    return sums
+
+
+def directions(sums: np.ndarray, states: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and as many principal directions as tell ``states`` combinations of sides apart."""
+    n, total, squares = sums[0], sums[1 : NEAR + 1], sums[NEAR + 1 :].reshape(NEAR, NEAR)
+    mean = total / n
+    _, vectors = np.linalg.eigh(squares / n - np.outer(mean, mean))
+    return mean, vectors[:, ::-1][:, : max(1, (states - 1).bit_length())]
+
+
+def divided(mean: np.ndarray, axes: np.ndarray, states: int, symbols: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+    """How often each state's texts hold each symbol."""
+    counts = np.zeros(SYMBOLS * states, np.int64)
+    ends = np.cumsum(lengths)
+    for at, x in _shares(symbols, lengths):
+        state = ((x - mean) @ axes > 0) @ (1 << np.arange(axes.shape[1])) % states
+        own = lengths[np.searchsorted(ends, at.start, side="right") :][: len(x)]
+        counts += np.bincount(symbols[at] * states + np.repeat(state, own), minlength=len(counts))
+    return [counts.astype(np.float64)]
+
+
 class Lexicon:
     """What workers know of words: the frequent ones (by hash, sorted) with counts, and the sizes of the classes."""
 
@@ -180,31 +280,42 @@ def _symbols(words: Words, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np
     return hashes, symbol, count, np.insert(flat, words.starts[1:], SYMBOLS - 1), words.lengths + 1
 
 
-def _runs(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and lengths of runs of at most RUN symbols, and whether they begin a text."""
-    n = -(-lengths // RUN)
-    text = np.repeat(np.arange(len(lengths)), n)
-    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    starts = np.concatenate([[0], np.cumsum(lengths)])[:-1][text] + k * RUN
-    return starts, np.minimum(RUN, lengths[text] - k * RUN), k == 0
+def _packed(sums: list[np.ndarray]) -> pa.RecordBatch:
+    """Tables of a partition in PARTS pieces."""
+    pieces = np.array_split(np.concatenate([x.ravel() for x in sums]), PARTS)
+    return pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in pieces], pa.binary())], names=["part", "counts"])
 
 
-def _expect(shared):
-    """Expected counts of a partition: emissions in PARTS pieces of symbols; the first also has starts and moves."""
+def _encoded(shared):
+    """Each text's symbols, with the end, as 16-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, lexicon = shared.value
-        sums = None
         for batch in slices(batches):
-            *_, symbols, lengths = _symbols(Words(batch.column(0)), lexicon)
-            got = expected_counts(model, symbols, *_runs(lengths))
+            *_, symbols, lengths = _symbols(Words(batch.column(0)), shared.value)
+            at = np.concatenate([[0], 2 * np.cumsum(lengths)]).astype(np.int32)
+            cells = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(symbols.astype(np.int16).tobytes())])
+            yield pa.RecordBatch.from_arrays([cells], names=["symbols"])
+
+    return run
+
+
+def _summed(encoded: DataFrame, of) -> np.ndarray | None:
+    """Sums over all texts of the tables that ``of`` (symbols, lengths) makes of some; None without texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = None
+        for batch in slices(batches, "symbols", SYMBOL_BYTES):
+            cells = batch.column(0)
+            lengths = pc.binary_length(cells).to_numpy(zero_copy_only=False).astype(np.int64) // 2
+            symbols = np.frombuffer(b"".join(cells.to_pylist()), np.int16).astype(np.int64)
+            got = of(symbols, lengths)
             sums = got if sums is None else [x + y for x, y in zip(sums, got, strict=True)]
         if sums is not None:
-            pieces = [x.ravel() for x in np.array_split(sums[2], PARTS)]
-            pieces[0] = np.concatenate([sums[0], sums[1].ravel(), pieces[0]])
-            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in pieces], pa.binary())], names=["part", "counts"])
+            yield _packed(sums)
 
-    return run
+    pieces = encoded.mapInArrow(run, "part int, counts binary").repartition(PARTS, "part").mapInArrow(_added, "part int, counts binary")
+    got = dict(pieces.collect())
+    return np.concatenate([np.frombuffer(bytes(got[k])) for k in range(PARTS)]) if got else None
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,39 +348,25 @@ def lexicon_of(counts: DataFrame, texts: int) -> Lexicon:
     return Lexicon(known, classes, total + texts, distinct + (texts > 0), texts)
 
 
-def _start(texts: list[str], lexicon: Lexicon, states: int, seed: int) -> Model:
-    """Baum-Welch on the sample, from states that each begin as a blend of random texts."""
-    rng = np.random.default_rng(seed)
-    *_, symbols, lengths = _symbols(Words(pa.array(texts, pa.string())), lexicon)
-    owner = np.repeat(np.arange(len(lengths)), lengths)
-    emit = np.zeros((SYMBOLS, states))
-    np.add.at(emit, (symbols, rng.integers(0, states, max(1, len(lengths)))[owner]), 1)
-    stay = np.full((states, states), 1 / states) + np.eye(states) * 19
-    model = Model.of([np.ones(states), stay * 100, emit], lexicon.base)
-    runs = _runs(lengths)
-    for _ in range(START_PASSES if texts else 0):
-        model = Model.of(expected_counts(model, symbols, *runs), lexicon.base)
-    return model
-
-
-def train(texts: DataFrame, lexicon: Lexicon, states: int = STATES, passes: int = PASSES, seed: int = 3) -> Model:
+def train(texts: DataFrame, lexicon: Lexicon, states: int = STATES, passes: int = PASSES) -> Model:
     """Baum-Welch over all rows of ``texts`` (column text)."""
     context = texts.sparkSession.sparkContext
-    # A share by hash first: no task then has more rows to send than the sample needs.
-    share = min(1.0, 8 * START_DOCS / max(1, lexicon.texts))
-    order = F.xxhash64("text")
-    sample = texts.where((F.octet_length("text") <= START_BYTES) & (F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30)))).orderBy(order, "text").limit(START_DOCS).collect()
-    model = _start([x.text or "" for x in sample], lexicon, states, seed)
+    stay = (1 - STAY) / states + np.eye(states) * STAY
+    encoded = stored(texts.mapInArrow(_encoded(context.broadcast(lexicon)), "symbols binary"))
+    sums = _summed(encoded, moments)
+    if sums is None:
+        dropped(encoded)
+        return Model(np.full(states, 1 / states), stay, np.tile(lexicon.base[:, None], (1, states)))
+    mean, axes = directions(sums, states)
+    emit = _summed(encoded, lambda symbols, lengths: divided(mean, axes, states, symbols, lengths)).reshape(SYMBOLS, states)
+    model = Model.of([np.zeros(states), np.zeros((states, states)), emit], lexicon.base)
+    model.move = stay.astype(np.float32)
     for _ in range(passes):
-        shared = context.broadcast((model, lexicon))
-        pieces = texts.mapInArrow(_expect(shared), "part int, counts binary").repartition(PARTS, "part").mapInArrow(_added, "part int, counts binary")
-        got = dict(pieces.collect())
-        if not got:
-            break
-        flat = [np.frombuffer(bytes(got[k])) for k in range(PARTS)]
-        start, move, rest = np.split(flat[0], [states, states + states**2])
-        emit = np.concatenate([rest, *flat[1:]]).reshape(SYMBOLS, states)
-        model = Model.of([start, move.reshape(states, states), emit], lexicon.base)
+        shared = context.broadcast(model)
+        flat = _summed(encoded, lambda symbols, lengths, shared=shared: expected_counts(shared.value, symbols, lengths))
+        start, move, emit = np.split(flat, [states, states + states**2])
+        model = Model.of([start, move.reshape(states, states), emit.reshape(SYMBOLS, states)], lexicon.base)
+    dropped(encoded)
     return model
 
 
