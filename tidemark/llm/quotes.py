@@ -109,10 +109,13 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     """conv_id, position, turn, role, text (without quotes), parent_turn, link (quote, order or null), n_quoted, max_level."""
     fields = ["conv_id", "turn", "role", "text"]
     rows = messages.select(*fields, F.xxhash64(*fields).alias("k"), F.xxhash64(F.lit(3), *fields).alias("k2"))
-    none = F.array().cast("array<struct<level:int,words:string,raw:string>>")
-    parsed = rows.withColumn("lines", _lines(F.col("text"))).withColumn("passages", _passages(F.coalesce("lines", none)))
+    marked = F.coalesce(F.col("text").contains(">"), F.lit(False))  # no other text has quotes, and none is parsed in vain
+
+    def parsed(some: DataFrame) -> DataFrame:
+        return some.withColumn("lines", _lines(F.col("text"))).withColumn("passages", _passages(F.col("lines")))
+
     quoted = (
-        parsed.where(F.exists("passages", lambda p: p["level"] > 0) & F.col("turn").isNotNull())
+        parsed(rows.where(marked & F.col("turn").isNotNull()))
         .select("conv_id", "turn", "k", "k2", F.explode(F.filter("passages", lambda p: p["level"] > 0)).alias("p"))
         .select("conv_id", "turn", "k", "k2", F.col("p.level").alias("level"), F.col("p.n").alias("n"), _normal(F.col("p.text")).alias("quote")).where("quote <> ''")
         .select("conv_id", "turn", "k", "k2", "level", "n", *_hashes(F.col("quote"))).distinct()
@@ -124,8 +127,7 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     in_a_row = F.transform(F.filter("lengths", lambda n: n <= F.size("words")), lambda n: F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda i: F.array_join(F.slice("words", i, n), " ")))
     whole = F.transform(F.concat(F.array(F.array_join(F.transform(own, lambda x: x["words"]), "\n")), F.transform(F.filter("passages", lambda p: p["level"] == 0), lambda p: p["text"])), _normal)
     held = (
-        parsed.where(F.col("turn").isNotNull() & F.col("lines").isNotNull())
-        .join(wanted, F.col("conv_id").eqNullSafe(F.col("_q")))
+        parsed(rows.where(F.col("turn").isNotNull() & F.col("text").isNotNull()).join(wanted, F.col("conv_id").eqNullSafe(F.col("_q"))))
         .select("conv_id", "turn", "lengths", whole.alias("whole"), words.alias("words"))
         .select("conv_id", "turn", F.explode(F.array_distinct(F.concat("whole", "words", F.flatten(in_a_row)))).alias("x")).where("x <> ''")
         .select("conv_id", "turn", *_hashes(F.col("x"))).distinct()
@@ -136,13 +138,15 @@ def link_quotes(messages: DataFrame) -> DataFrame:
         .groupBy(F.col("k").alias("_k"), F.col("k2").alias("_k2")).agg(F.max(F.struct((-F.col("level")).alias("l"), F.col("source"))).alias("best"))
         .select("_k", "_k2", F.col("best.source").cast(messages.schema["turn"].dataType).alias("quoted_turn"))
     )
-    kept = F.filter(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["raw"]), lambda x: ~((F.col("max_level") > 0) & x.rlike(_ANNOUNCES)))
-    clean = (
-        parsed.withColumn("max_level", F.coalesce(F.array_max(F.transform("passages", lambda p: p["level"])), F.lit(0)))
-        .withColumn("n_quoted", F.size(F.filter("passages", lambda p: p["level"] > 0)).cast("long"))
-        .withColumn("text", F.when(F.col("max_level") > 0, F.btrim(F.array_join(kept, "\n"), F.lit(" \t\r\n"))).otherwise(F.col("text")))
-        .drop("lines", "passages")
-    )
+    kept = F.filter(F.transform(own, lambda x: x["raw"]), lambda x: ~x.rlike(_ANNOUNCES))
+    read = F.struct(
+        F.coalesce(F.array_max(F.transform("passages", lambda p: p["level"])), F.lit(0)).alias("max_level"),
+        F.size(F.filter("passages", lambda p: p["level"] > 0)).cast("long").alias("n_quoted"),
+        F.btrim(F.array_join(kept, "\n"), F.lit(" \t\r\n")).alias("text"),
+    )
+    plain = rows.where(~marked).withColumns({"max_level": F.lit(0), "n_quoted": F.lit(0).cast("long")})
+    marks = parsed(rows.where(marked)).withColumn("read", read).withColumns({"max_level": F.col("read.max_level"), "n_quoted": F.col("read.n_quoted"), "text": F.when(F.col("read.max_level") > 0, F.col("read.text")).otherwise(F.col("text"))})
+    clean = plain.unionByName(marks.select(*plain.columns))
     return (
         _numbered(clean).join(parents, (F.col("k") == F.col("_k")) & (F.col("k2") == F.col("_k2")), "left")
         .withColumn("parent_turn", F.coalesce("quoted_turn", "previous_turn"))
