@@ -9,7 +9,7 @@ from tidemark.operators import replay
 from tidemark.operators.final import final
 from tidemark.plans import library
 from tidemark.operators.cdc import Classifier, State, as_states, checkpoint_due, classify, quarantined
-from tidemark.functions.documents import json_patch, sha256
+from tidemark.functions.documents import json_patch, normalize, sha256
 from tidemark.operators.cdc import KEY
 from tidemark.sources.schema import RESOURCE_STATES, STORED_STATES, validate_schema
 from tidemark.sources import observations, tables
@@ -228,6 +228,32 @@ def test_a_scope_stops_as_a_whole(spark):
     assert got("") == [("m", "D", "a"), ("n", "D", "a"), ("n", "D", "b")]
 
 
+def test_a_seed_learns_its_epoch():
+    seeded = State("u1", normalize(json.loads(doc()))["sha256"])
+    o = obs(body=doc())
+    state, rows = Classifier().step(seeded, o | {"scope_epoch": 2})
+    assert (state.epoch, rows) == (2, [])
+    assert Classifier().step(state, o)[0].epoch == 2
+    assert [r["event_type"] for r in Classifier().step(state, o | {"scope_epoch": 3})[1]] == ["Added"]
+
+
+def test_epochs_of_scopes(spark, tmp_path):
+    """A later epoch forgets the state without a row, an earlier one is dropped; the same in batch and in a stream."""
+    steps = [(0, 0, "u1"), (1, 0, "u1"), (2, 1, "u1"), (3, 0, "u2"), (4, None, "u1"), (5, 3, "u3")]
+    rows = [(*observation(k, 10 + k, body=doc(uid=u)), e) for k, e, u in steps]
+    schema = f"{COLUMNS}, scope_epoch long"
+    want = [(0, "Added", "u1"), (2, "Added", "u1"), (5, "Added", "u3")]
+    one = spark.createDataFrame(rows, schema)
+    assert [(r.seq, r.event_type, r.uid) for r in classify(one).orderBy("seq").collect()] == want
+    for k, r in enumerate(rows):
+        spark.createDataFrame([r], schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        if k % 2:
+            stream = classify_stream(observations.read_stream(spark, str(tmp_path / "in")))
+            write_history(stream, str(tmp_path / "states"), str(tmp_path / "bad"), str(tmp_path / "checkpoint")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "states")).orderBy("ts_ns").collect()
+    assert [(r.ts_ns - 10, r.event_type, r.uid) for r in got] == want
+
+
 def test_a_batch_that_runs_again_replaces_what_it_wrote(spark, tmp_path):
     states = as_states(classify(spark.createDataFrame(scenario(60), COLUMNS))).drop("sink")
     path = str(tmp_path / "states")

@@ -7,6 +7,7 @@ from tidemark.functions import columns, selectors, sql
 from tidemark.operators import metrics, recover, rules
 from tidemark.sources import adapter, churn, prometheus, tables
 from tidemark.sources.schema import RESOURCE_STATES, WATCH_SCOPES, validate_schema
+from tidemark.streaming import watch
 
 T0 = datetime(2026, 1, 1)
 
@@ -124,6 +125,58 @@ def test_recovery_gates(spark):
     assert {r.uid for r in got.seed.collect()} == {"u1", "u2", "u3", "u4", "u5", "u7"}
 
 
+def test_refused_claims_close_what_has_a_successor(spark):
+    of = "cluster_id string, api_group string, kind string, namespace string, name string, uid string"
+    hist = [("a", "u1", "Added", 1), ("a", "u2", "Added", 2), ("b", "u3", "Added", 3), ("c", "u4", "Added", 4), ("c", "u4", "Deleted", 5), ("c", "u5", "Added", 6), ("d", "u6", "Added", 7), ("d", "u7", "Added", 8)]
+    history = spark.createDataFrame([(T0 + timedelta(hours=h[-1]), "k", "apps", "D", "n", *h[:-1], "sha", "v1", h[-1]) for h in hist], f"ts timestamp, {of}, event_type string, sha256 string, api_version string, ingest_seq long")
+    claims = [("k", "apps", "D", "n", *x) for x in (("a", "u1"), ("a", "u1"), ("b", "u3"), ("c", "u4"), ("x", "u8"))]
+    got = recover.close_refused(spark.createDataFrame(claims, of), history)
+    assert [(r.name, r.uid, r.event_type, r.ts, r.api_version) for r in got.deleted.collect()] == [("a", "u1", "Deleted", T0 + timedelta(hours=1), "v1")]
+    assert [(r.name, r.uid) for r in got.pending.collect()] == [("b", "u3")]
+    none = recover.close_refused(spark.createDataFrame([], of), history)
+    assert none.deleted.count() == none.pending.count() == 0
+
+
+def test_epochs_count_the_stops_of_all_scopes_that_hold_an_object(spark):
+    log = [(0, "n", "Started"), (2, "n", "Stopped"), (3, "n", "Started"), (3, "", "Started"), (5, "", "Stopped"), (8, "n", "Stopped")]
+    transitions = spark.createDataFrame([(T0 + timedelta(hours=h), "k", "s", "apps", "D", ns, "v1", a, "r") for h, ns, a in log], watch.SCOPES)
+    seen = [(h, ns, kind) for h in range(9) for ns in ("n", "m") for kind in ("D", "E")]
+    observed = spark.createDataFrame([(T0 + timedelta(hours=h), "k", "s", "apps", kind, ns, -1) for h, ns, kind in seen], "ts timestamp, cluster_id string, sink string, api_group string, kind string, namespace string, scope_epoch long")
+    got = rules.in_epochs(observed, transitions)
+    assert got.columns == observed.columns
+    want = {(h, "n"): e for h, e in ((0, 0), (1, 0), (3, 1), (4, 1), (5, 2), (6, 2), (7, 2))} | {(3, "m"): 0, (4, "m"): 0}
+    rows = got.collect()
+    assert {((r.ts - T0).seconds // 3600, r.namespace): r.scope_epoch for r in rows} == want and len(rows) == len(want)
+    assert rules.in_epochs(observed, transitions.limit(0)).count() == 0
+
+
+def test_scopes_follow_rules(spark, tmp_path):
+    """Each batch evaluates the plan again; a scope that two rules want runs until the last of them goes, and a rule may come back."""
+    res = lambda kind, version="v1": [("apps", version, kind, "")]
+    steps = [
+        [(0, "r1", "s", ["n"], res("D"), None, False), (0, "r2", "s", ["n", "m"], res("D", "v2"), None, None), (0, "r4", "s", None, [("", "v1", "Secret", "")], None, False)],
+        [(1, "r1", "s", None, None, None, True), (1, "r3", "t", None, res("E"), None, False)],
+        [(2, "r2", "s", ["m"], res("D"), None, False)],
+        [(3, "r1", "s", ["n"], res("D"), None, False), (3, "r3", "t", None, None, None, True)],
+    ]
+    for k, step in enumerate(steps):
+        spark.createDataFrame([(T0 + timedelta(hours=r[0]), *r[1:]) for r in step], watch.RULES).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        for _ in range(2 if k == 1 else 1):  # nothing new gives no batch
+            changes = spark.readStream.schema(watch.RULES).json(str(tmp_path / "in"))
+            watch.follow_rules(changes, str(tmp_path / "watch"), str(tmp_path / "checkpoint"), cluster="k").awaitTermination()
+    got = watch.read_scopes(spark, str(tmp_path / "watch")).collect()
+    assert sorted(((r.ts - T0).seconds // 3600, r.action, r.sink, r.kind, r.namespace, r.api_version, r.rule_ref) for r in got) == [
+        (0, "Started", "s", "D", "m", "v2", "r2"),
+        (0, "Started", "s", "D", "n", "v2", "r1"),
+        (1, "Started", "t", "E", "", "v1", "r3"),
+        (2, "Stopped", "s", "D", "n", "v2", "r1"),
+        (3, "Started", "s", "D", "n", "v1", "r1"),
+        (3, "Stopped", "t", "E", "", "v1", "r3"),
+    ]
+    epochs = rules.in_epochs(spark.createDataFrame([(T0 + timedelta(hours=h), "k", "s", "apps", "D", "n") for h in (1, 2, 3)], "ts timestamp, cluster_id string, sink string, api_group string, kind string, namespace string"), watch.read_scopes(spark, str(tmp_path / "watch")))
+    assert sorted(((r.ts - T0).seconds // 3600, r.scope_epoch) for r in epochs.collect()) == [(1, 0), (3, 1)]
+
+
 def test_metrics(spark):
     s = spark.createDataFrame([(T0 + timedelta(minutes=m), "c", {"sink": "a", "outcome": "failed"}, float(v)) for m, v in ((0, 10), (1, 16), (2, 4), (3, 4), (20, 4))], "ts timestamp, name string, labels map<string,string>, value double")
     got = [round(r.rate * 300, 6) for r in metrics.rate(s, ["name"], 300).orderBy("ts").collect()]

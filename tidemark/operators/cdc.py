@@ -13,14 +13,18 @@ unless the closed object has a row that late; then both share an instant, and
 :func:`tidemark.sources.schema.latest` puts it first.
 
 A ``scope_stop`` without a name stops the whole scope: all objects of its sink,
-cluster, group and kind, in its namespace (or in all, if it names none).
+cluster, group and kind, in its namespace (or in all, if it names none).  In streams
+observations carry ``scope_epoch`` instead, how often their scope has stopped (see
+:func:`tidemark.operators.rules.in_epochs`): a state of an earlier epoch is
+forgotten when its object is next seen, without a pass over all of a scope's
+states, and observations of an earlier epoch than the state's are dropped.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -37,7 +41,7 @@ OUT = "seq long, ts_ns long, sink string, cluster_id string, event_type string,
 
 @dataclass(frozen=True)
 class State:
-    """The last state that was written, at ``at`` (ns); ``json`` is None if only its hash is known (seeded from history)."""
+    """The last state that was written, at ``at`` (ns); ``json`` is None if only its hash is known (seeded from history), ``epoch`` is None if it holds in any."""
 
     uid: str
     sha256: str
@@ -45,6 +49,7 @@ class State:
     json: str | None = None
     run: int = 0
     at: int = BEFORE
+    epoch: int | None = None
 
 
 def ephemeral(group: str, kind: str) -> bool:
@@ -75,8 +80,17 @@ class Classifier:
     def step(self, state: State | None, o: dict) -> tuple[State | None, list[dict]]:
         """The state after an observation, and the rows it gives.
 
-        ``o``: op (upsert, delete, scope_stop), object_json, scope_warm, and the key.
+        ``o``: op (upsert, delete, scope_stop), object_json, scope_warm, scope_epoch, and the key.
         """
+        epoch = o.get("scope_epoch")
+        if state is not None and epoch is not None and state.epoch is not None and epoch != state.epoch:
+            if epoch < state.epoch:
+                return state, []
+            state = None
+        if state is not None:
+            # Whichever of the two knows the epoch: a seed learns it from what is seen first.
+            epoch = state.epoch if epoch is None else epoch
+            state = state if epoch == state.epoch else replace(state, epoch=epoch)
         if o["op"] == "scope_stop":
             return None, []
         events = ephemeral(o["api_group"], o["kind"])
@@ -109,7 +123,7 @@ class Classifier:
                 else:
                     data = ""
         rows.append(self._row(o, event, n["api_version"], n["uid"]) | {k: n[k] for k in ("resource_version", "labels", "actors", "sha256")} | {"data": data, "diff": diff})
-        return State(n["uid"], n["sha256"], n["api_version"], None if events else n["json"], run, o["ts_ns"]), rows
+        return State(n["uid"], n["sha256"], n["api_version"], None if events else n["json"], run, o["ts_ns"], epoch), rows
 
     @staticmethod
     def _patch(old: str, new: str) -> str | None:
@@ -143,16 +157,16 @@ ARROW = pa.schema(
 def observed(df: DataFrame) -> DataFrame:
     """Observations with defaults: one sink, one cluster, warm scopes, ts_ns from ts."""
     have = set(df.columns)
-    defaults = {"sink": F.lit("default"), "cluster_id": F.lit(""), "scope_warm": F.lit(True), "ts_ns": F.unix_micros(F.col("ts").cast("timestamp")) * 1000 if "ts" in have else F.lit(0).cast("long")}
+    defaults = {"sink": F.lit("default"), "cluster_id": F.lit(""), "scope_warm": F.lit(True), "scope_epoch": F.lit(None).cast("long"), "ts_ns": F.unix_micros(F.col("ts").cast("timestamp")) * 1000 if "ts" in have else F.lit(0).cast("long")}
     df = df.withColumns({k: v for k, v in defaults.items() if k not in have})
     text = {c: F.coalesce(c, F.lit("")) for c in KEY}
-    return df.withColumns(text | {"scope_warm": F.coalesce("scope_warm", F.lit(True))}).select(*KEY, "seq", "ts_ns", "op", "object_json", "scope_warm")
+    return df.withColumns(text | {"scope_warm": F.coalesce("scope_warm", F.lit(True))}).select(*KEY, "seq", "ts_ns", "op", "object_json", "scope_warm", "scope_epoch")
 
 
 def each_object_stopped(rows: DataFrame) -> DataFrame:
     """Stops of whole scopes as one for each object of the scope that is observed; scopes are few beside objects."""
     whole = (F.col("op") == "scope_stop") & (F.col("name") == "")
-    stops = rows.where(whole).select(*[F.col(c).alias(f"s_{c}") for c in ("sink", "cluster_id", "api_group", "kind", "namespace")], "seq", "ts_ns", "op", "object_json", "scope_warm")
+    stops = rows.where(whole).select(*[F.col(c).alias(f"s_{c}") for c in ("sink", "cluster_id", "api_group", "kind", "namespace")], "seq", "ts_ns", "op", "object_json", "scope_warm", "scope_epoch")
     named = rows.where("name <> ''").select(*KEY).distinct()
     same = [F.col(c) == F.col(f"s_{c}") for c in ("sink", "cluster_id", "api_group", "kind")]
     # By equality twice, so that no pair of rows is tried that differs in the scope's columns.
@@ -166,7 +180,7 @@ def classify(observations: DataFrame, classifier: Classifier | None = None, seed
     classifier = classifier or Classifier()
     rows = each_object_stopped(observed(observations)).withColumns({"uid": F.lit(None).cast("string"), "sha256": F.lit(None).cast("string"), "api_version": F.lit(None).cast("string")})
     if seed is not None:
-        start = {"seq": F.lit(-1).cast("long"), "ts_ns": F.lit(BEFORE).cast("long"), "op": F.lit("seed"), "object_json": F.lit(None).cast("string"), "scope_warm": F.lit(True)}
+        start = {"seq": F.lit(-1).cast("long"), "ts_ns": F.lit(BEFORE).cast("long"), "op": F.lit("seed"), "object_json": F.lit(None).cast("string"), "scope_warm": F.lit(True), "scope_epoch": F.lit(None).cast("long")}
         rows = rows.unionByName(seed.withColumns(start).select(*rows.columns))
     dealt = rows.repartition(partitions, *KEY) if partitions else rows.repartition(*KEY)
     return dealt.sortWithinPartitions(*KEY, "ts_ns", "seq").mapInArrow(_pass(classifier), OUT)

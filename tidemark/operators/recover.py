@@ -64,6 +64,27 @@ def _zombies(states: DataFrame, live: DataFrame) -> DataFrame:
     return same.join(names, IDENTITY, "left").select(*IDENTITY, "uid", "sha256", "api_version", "ts", F.coalesce("replaced", F.lit(False)).alias("replaced"))
 
 
+class Refused(NamedTuple):
+    """Deletions to write, and claims that must wait for the successor's first row."""
+
+    deleted: DataFrame
+    pending: DataFrame
+
+
+def close_refused(refused: DataFrame, history: DataFrame) -> Refused:
+    """Incarnations (identity, uid) known to be replaced, whose state another process had claimed, against history read again.
+
+    One that is closed by now needs nothing; one that history has a successor of is
+    closed at its own last row; one that is still the newest of its object has no row
+    to be dated by and stays pending, for another call.
+    """
+    claims = refused.select(*IDENTITY, "uid").distinct()
+    # All open incarnations of the objects: which is the newest depends on the others.
+    mine = split_incarnations(known(history.join(claims.select(*IDENTITY).distinct(), IDENTITY, "left_semi")))
+    open_ = mine.join(claims, [*IDENTITY, "uid"], "left_semi").where(~is_ephemeral())
+    return Refused(_deletion(open_.where("not current"), F.col("ts"), F.col("api_version")), open_.where("current").select(*IDENTITY, "uid"))
+
+
 def orphan_scopes(scopes: DataFrame, desired: DataFrame) -> DataFrame:
     """Open scopes that nothing wants, by exact scope."""
     last = scopes.groupBy(*SCOPE).agg(F.max_by(F.struct("action", "api_version"), F.struct("ts", "action")).alias("a")).where("a.action = 'Started'")

@@ -111,6 +111,34 @@ def fan_out(observations: DataFrame, targets: DataFrame, previous_labels: str |
     return rows.where(F.exists("t_wants", wanted)).select(*have, F.col("t_sink").alias("sink"))
 
 
+def in_epochs(observations: DataFrame, transitions: DataFrame) -> DataFrame:
+    """Observations that a running scope holds, with ``scope_epoch``: how often scopes that hold the object had stopped by then.
+
+    ``transitions``: the log that :func:`scope_transitions` makes; a scope runs from the
+    instant it starts to before the instant it stops.  The log of a (cluster, sink,
+    group, kind) is one row, so an observation is never multiplied.  A stream reads
+    the log when it starts.
+    """
+    of = {"t_cluster": "cluster_id", "t_sink": "sink", "t_group": "api_group", "t_kind": "kind"}
+    stop = Window.partitionBy(*of.values(), "namespace").orderBy("ts")
+    # Actions alternate within a scope, so what follows a start is its stop.
+    runs = transitions.withColumn("stopped", F.lead("ts").over(stop)).where("action = 'Started'")
+    logs = runs.groupBy(*[F.col(c).alias(t) for t, c in of.items()]).agg(F.collect_list(F.struct("namespace", F.col("ts").alias("started"), "stopped")).alias("t_runs"))
+    if logs.limit(FEW + 1).count() <= FEW:
+        logs = F.broadcast(logs)
+    have = [c for c in observations.columns if c != "scope_epoch"]
+    rows = observations.join(logs, [F.col(c).eqNullSafe(F.col(t)) for t, c in of.items()])
+
+    def holds(r: Column) -> Column:
+        return (r["namespace"] == "") | (r["namespace"] == F.col("namespace"))
+
+    def running(r: Column) -> Column:
+        return holds(r) & (r["started"] <= F.col("ts")) & (r["stopped"].isNull() | (F.col("ts") < r["stopped"]))
+
+    ended = F.filter("t_runs", lambda r: holds(r) & (r["stopped"] <= F.col("ts")))
+    return rows.where(F.exists("t_runs", running)).select(*have, F.size(ended).cast("long").alias("scope_epoch"))
+
+
 def with_previous_labels(observations: DataFrame) -> DataFrame:
     before = Window.partitionBy("api_group", "kind", "namespace", "name").orderBy("seq")
     return observations.withColumn("previous_labels", F.lag("labels").over(before))

@@ -15,7 +15,7 @@ CHANGES = ("Modified", "Checkpoint")
 
 _STATES = "ts TIMESTAMP, cluster_id STRING, event_type STRING, api_group STRING, api_version STRING, kind STRING, namespace STRING, name STRING, uid STRING, resource_version STRING, labels MAP<STRING,STRING>, actors ARRAY<STRING>, data STRING, diff STRING, sha256 STRING"
 _SCOPES = "ts TIMESTAMP, cluster_id STRING, api_group STRING, api_version STRING, kind STRING, namespace STRING, action STRING, rule_ref STRING"
-_OBSERVED = "seq BIGINT, ts TIMESTAMP, ts_ns BIGINT, sink STRING, op STRING, cluster_id STRING, api_group STRING, api_version STRING, kind STRING, namespace STRING, name STRING, object_json STRING, scope_warm BOOLEAN"
+_OBSERVED = "seq BIGINT, ts TIMESTAMP, ts_ns BIGINT, sink STRING, op STRING, cluster_id STRING, api_group STRING, api_version STRING, kind STRING, namespace STRING, name STRING, object_json STRING, scope_warm BOOLEAN, scope_epoch BIGINT"
 
 #: Kept beside the frozen columns: full precision of ts, and the order of arrival.
 HIDDEN = "ts_ns BIGINT, ingest_seq BIGINT"

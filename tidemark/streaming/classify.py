@@ -14,7 +14,7 @@ from tidemark.operators.cdc import BEFORE, KEY, OUT, Classifier, State, as_state
 from tidemark.sources.schema import EVENT_TYPES
 from tidemark.sources.tables import append_states
 
-_STATE = "uid string, sha256 string, api_version string, json string, run long, at long"
+_STATE = "uid string, sha256 string, api_version string, json string, run long, at long, epoch long"
 _COLUMNS = [part.split()[0] for part in OUT.split(", ")]
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -32,7 +32,7 @@ class Processor(StatefulProcessor):
         if len(initialState) > 1:
             raise ValueError(f"{len(initialState)} states to start from for {key}")
         row = initialState.iloc[0]
-        self.state.update((row.uid, row.sha256, row.api_version or "", None, 0, BEFORE))
+        self.state.update((row.uid, row.sha256, row.api_version or "", None, 0, BEFORE, None))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         had = self.state.exists()
@@ -43,7 +43,7 @@ class Processor(StatefulProcessor):
             state, more = self.classifier.step(state, o)
             out += more
         if state is not None:
-            self.state.update((state.uid, state.sha256, state.api_version, state.json, state.run, state.at))
+            self.state.update((state.uid, state.sha256, state.api_version, state.json, state.run, state.at, None if state.epoch is None else int(state.epoch)))
         elif had:
             self.state.clear()
         if out:
