@@ -9,7 +9,7 @@ from tidemark.operators import replay
 from tidemark.operators.final import final
 from tidemark.plans import library
 from tidemark.operators.cdc import Classifier, State, as_states, checkpoint_due, classify, quarantined
-from tidemark.functions.documents import json_patch, normalize, sha256
+from tidemark.functions.documents import Redaction, json_patch, normalize, sha256
 from tidemark.operators.cdc import KEY
 from tidemark.sources.schema import RESOURCE_STATES, STORED_STATES, validate_schema
 from tidemark.sources import observations, tables
@@ -229,7 +229,7 @@ def test_a_scope_stops_as_a_whole(spark):
 
 
 def test_a_seed_learns_its_epoch():
-    seeded = State("u1", normalize(json.loads(doc()))["sha256"])
+    seeded = State("u1", normalize(json.loads(doc()), Redaction())["sha256"])
     o = obs(body=doc())
     state, rows = Classifier().step(seeded, o | {"scope_epoch": 2})
     assert (state.epoch, rows) == (2, [])
