@@ -53,6 +53,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Words, slices
 
 CHUNK_BYTES = 8 << 20
+#: Text judged at once inside a worker, in bytes: what is held beside the index is a multiple of it.
+SLICE = 1 << 20
 BLOCK = 4
 THRESHOLD = 0.5
 #: Largest table for looking words of windows up, in bytes; beyond it they are found by bisection.
@@ -276,7 +278,7 @@ def _judge(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             words = Words(batch.column(1))
             codes, vocab = _edgeless(words)
             to = pc.fill_null(pc.index_in(vocab, index.terms), len(index.terms)).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -338,7 +340,7 @@ def _added(shared, name: str):
     judge = _judge(shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             texts = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(1)], names=["row", "text"])
             now = pa.Table.from_batches(judge(iter([texts]))).combine_chunks()
             yield pa.RecordBatch.from_arrays(
@@ -375,7 +377,7 @@ def _clean(shared, at: int):
     judge = _judge(shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             texts = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(at)], names=["row", "text"])
             held = [pc.list_value_length(b.column(2)) for b in judge(iter([texts]))]
             yield batch.filter(pc.equal(pa.concat_arrays(held), 0))
