@@ -91,3 +91,14 @@ def test_real_labels(spark):
     rows = t.score_toxicity(docs, labels, held).where("held_out").join(labels, "doc_id").collect()
     toxic, clean = ([r.score for r in rows if r.toxic == k] for k in (1, 0))
     assert np.mean([a > b for a in toxic for b in clean]) > 0.75
+
+
+def test_the_driver_does_not_train(spark, monkeypatch):
+    """Neither the sample nor what training needs comes to the driver."""
+    docs = spark.createDataFrame([(k, f"w{k % 5} " * 9 + "bad" * (k % 3 == 0)) for k in range(60)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    rows = docs.select("text", "doc_id").join(labels, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").collect()
+    want = t.fit([r.text for r in rows], np.array([float(r.toxic) for r in rows]))
+    monkeypatch.setattr(t, "_fit", None)
+    got = t.train(docs, labels)
+    assert got.vocab.equals(want.vocab) and all(np.allclose(got.p[k], want.p[k], atol=1e-5) for k in want.p)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from contextvars import ContextVar
 from weakref import WeakKeyDictionary
 
@@ -115,6 +117,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             yield batch.slice(a, b - a)
 
 
+def release() -> None:
+    """Give memory that this process has freed back to the system, where that can be asked for."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Words:
     """Lower-cased words of some texts: ``codes`` into ``vocab`` for all words in order, ``starts`` by text."""
 

@@ -7,7 +7,7 @@ two directions' states are pooled by attention to one logit.  Every window of
 every text is scored; a text's logit is its highest, turned into a probability by
 two calibration parameters.
 
-Training is in numpy on the driver, on a bounded sample of labelled rows
+Training is in numpy, by one task (the driver gets the network alone), on a bounded sample of labelled rows
 (``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` rows with texts of at most ``SAMPLE_BYTES``
 bytes, in the order of a hash of doc_id; every fifth only calibrates, with the
 classes weighted as they are among all labels).  Only the texts of labelled documents say which words occur in
@@ -27,6 +27,7 @@ An empty table gives no rows.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Words, mix, slices, stored
+from tidemark.llm.common import Words, mix, release, slices, stored
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, DIM = 8, 8
@@ -300,9 +301,27 @@ def train(docs: DataFrame, labels: DataFrame) -> Network:
     chosen = [rows.where((F.col("toxic") == kind) & share(most, of)).orderBy(order, "doc_id").limit(most) for kind, most, of in kinds]
     ids = chosen[0].unionAll(chosen[1]).select(F.col("doc_id").alias("d"), "toxic")  # a bounded number of rows
     sample = docs.where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(ids), F.col("doc_id") == F.col("d")).select("text", "toxic", order.alias("o"), "doc_id")
-    got = sample.orderBy("o", "doc_id", "text").limit(SAMPLE_TOXIC + SAMPLE_CLEAN).collect()
+    sample = sample.orderBy("o", "doc_id", "text").limit(SAMPLE_TOXIC + SAMPLE_CLEAN).select("text", "toxic")  # one partition
     weight = (n_clean / min(n_clean, SAMPLE_CLEAN)) / (n_toxic / min(n_toxic, SAMPLE_TOXIC)) if n_toxic and n_clean else 1.0
-    return fit([x.text for x in got], np.array([float(x.toxic) for x in got]), weight)
+    got = sample.mapInArrow(_trained(weight), "network binary").collect()
+    return pickle.loads(got[0].network) if got else fit([], np.zeros(0), weight)
+
+
+def _trained(weight: float):
+    """The network, fitted on all rows of the partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, labels = [], []
+        for batch in batches:
+            texts += batch.column(0).to_pylist()
+            labels += batch.column(1).to_pylist()
+        if texts:
+            network = pickle.dumps(fit(texts, np.array(labels, float), weight))
+            del texts, labels
+            release()
+            yield pa.RecordBatch.from_arrays([pa.array([network], pa.binary())], names=["network"])
+
+    return run
 
 
 def _score(shared):
